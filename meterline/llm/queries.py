@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, tokens
+from . import media, packing, sharding, tokens, warc
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op6_warc": warc.op6_warc,
     "op8_packing": packing.op8_packing,
+    "op9_telephony_audio": media.op9_telephony_audio,
     "op10_histogram_sort": sharding.op10_histogram_sort,
 }
 ORACLES: dict[str, str] = {}
