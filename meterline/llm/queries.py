@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, packing, sharding, tokens, warc
+from . import decontam, media, packing, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_packing": packing.op8_packing,
     "op9_telephony_audio": media.op9_telephony_audio,
     "op10_histogram_sort": sharding.op10_histogram_sort,
