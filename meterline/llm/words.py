@@ -65,10 +65,10 @@ class Encoder:
         self.base, self.cache = base, dict(base)
 
     def learn(self, words: list[str]) -> None:
-        new = list(set(words) - self.cache.keys())
+        new = [w for w in set(words) if w not in self.cache]
         if len(self.cache) + len(new) > CACHE + len(self.base):
             self.cache = dict(self.base)
-            new = list(set(words) - self.cache.keys())
+            new = [w for w in set(words) if w not in self.cache]
         for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             self.cache[w] = self.value(e.ids)
 
