@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, media, packing, sharding, tokens, toxicity, warc
+from . import decontam, media, packing, pii, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op3_token_counts": tokens.op3_token_counts,
+    "op4_contextual_pii": pii.op4_contextual_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_decontamination": decontam.op7_decontamination,
