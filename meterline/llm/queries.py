@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, media, neardup, packing, pii, sharding, tokens, toxicity, warc
+from . import decontam, media, neardup, packing, pii, sharding, suffixes, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_bucket_pointer_refinement": suffixes.op1_bucket_pointer_refinement,
     "op2_odd_sketches": neardup.op2_odd_sketches,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_contextual_pii": pii.op4_contextual_pii,
