@@ -5,7 +5,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,7 +36,7 @@ def _pack(window: int, opened: int, base: int):
     def place(doc, ids, total):
         for start in range(0, total - window + 1, window):  # whole windows of a long document
             w = new()
-            w.rows.append((doc, start, ids[start : start + window], total, 0))
+            w.rows.append((doc, start, ids[4 * start : 4 * (start + window)], total, 0))
             w.fill = window
             yield w
         start = total - total % window
@@ -54,7 +53,7 @@ def _pack(window: int, opened: int, base: int):
                 yield full
             w = new()
             windows.append(w)
-        w.rows.append((doc, start, ids[start:], total, w.fill))
+        w.rows.append((doc, start, ids[4 * start :], total, w.fill))
         w.fill += n
         if w.fill == window:
             windows.remove(w)
@@ -80,7 +79,7 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     rows = df.select(F.col(doc_id).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, tuple)
+        enc, end = encoder(path, False), end_id.to_bytes(4, "little")
         place, windows = _pack(window, opened, TaskContext.get().partitionId() << 36)
         out: list[tuple] = []
         held, doc_type = 0, pa.int64()
@@ -91,15 +90,15 @@ def pack_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
             return pa.RecordBatch.from_arrays([pa.array(c[0], doc_type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary()), *(pa.array(x, pa.int64()) for x in c[4:7]), pa.array(c[7], pa.bool_())], names=["__doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "open"])
 
         def done(w: _Window, still: bool):
-            out.extend((doc, start, len(ids), ids.tobytes(), total, w.number, at, still) for doc, start, ids, total, at in w.rows)
+            out.extend((doc, start, len(ids) // 4, ids, total, w.number, at, still) for doc, start, ids, total, at in w.rows)
             return w.fill
 
         for batch in batches:
             doc_type = batch.column(0).type
             for b in pieces(batch, ["__text"]):
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids = np.append(enc.ids(t) if t else np.zeros(0, np.uint32), np.uint32(end_id)).astype("<u4")
-                    for w in place(doc, ids, len(ids)):
+                for doc, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1).to_pylist())):
+                    ids += end
+                    for w in place(doc, ids, len(ids) // 4):
                         held += done(w, False)
                     if held > 1 << 20:
                         yield flush()

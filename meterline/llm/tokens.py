@@ -35,8 +35,8 @@ def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000,
                 if len(seen) > 20 * entries:
                     seen = Counter(dict(seen.most_common(10 * entries)))
         words = [w for w, _ in seen.most_common(entries)]
-        enc = encoder(path, len)
-        enc.learn(words)
+        enc = encoder(path, True)
+        enc.learn(set(words))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([enc.cache[w] for w in words], pa.int32())], names=["word", "n"])
 
     seeds = df.select(F.col(text)).where(F.col(text).isNotNull()).limit(seed_docs).coalesce(1)
@@ -53,12 +53,12 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None, ent
     table = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, path, entries))
 
     def make():
-        enc = encoder(path, len)
+        enc = encoder(path, True)
         if not enc.base:
             enc.start_from(table.value)
 
         def count(columns):
-            return [pa.array([enc.count(t) if t else 0 for t in columns[0].to_pylist()], pa.int64())]
+            return [pa.array(enc.batch(columns[0].to_pylist()), pa.int64())]
 
         return count
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
@@ -26,7 +25,7 @@ def _class(kind: str) -> str:
 _L, _N = _class("L"), _class("N")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 #: Pre-tokens a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHE = 400_000
+CACHE = 600_000
 CHUNK = 1 << 19
 
 
@@ -53,61 +52,78 @@ def split(text: str) -> list[str]:
 
 
 class Encoder:
-    """The library's tokenizer behind a cache of pre-tokens; `value` turns a pre-token's ids into what is cached."""
+    """The library's tokenizer behind a cache of pre-tokens, which holds their ids (little-endian, 32 bits) or only their number.
 
-    def __init__(self, path: str, value=tuple):
+    Missing pre-tokens are encoded many at once, blanks between them; a token that ends a word says where each one's ids end.
+    """
+
+    def __init__(self, path: str, counts: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.value, self.cache, self.base = Tokenizer.from_file(path), value, {}, {}
+        self.library, self.counts, self.cache, self.base = Tokenizer.from_file(path), counts, {}, {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def start_from(self, base: dict) -> None:
         self.base, self.cache = base, dict(base)
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self.cache]
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.cache]
+        if not new:
+            return
         if len(self.cache) + len(new) > CACHE + len(self.base):
             self.cache = dict(self.base)
-            new = [w for w in set(words) if w not in self.cache]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = self.value(e.ids)
+            new = [w for w in words if w not in self.cache]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.whole(" ".join(part)), "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part):
+                raise ValueError("the vocabulary doesn't mark word ends")
+            start = np.concatenate([[0], end[:-1]])
+            if self.counts:
+                self.cache.update(zip(part, (end - start).tolist()))
+            else:
+                raw = ids.tobytes()
+                self.cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, start.tolist(), end.tolist()))
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def values(self, text: str) -> list:
-        """The cached value of each pre-token of a plain text."""
-        out = []
-        for part in chunks(text):
-            words = split(part)
-            try:
-                out += map(self.cache.__getitem__, words)
-            except KeyError:
-                self.learn(words)
-                return self._again(text)
-        return out
-
-    def _again(self, text: str) -> list:
-        out = []
-        for part in chunks(text):
-            words = split(part)
-            self.learn(words)
-            out += [self.cache[w] for w in words]
+    def batch(self, texts: list[str | None]) -> list:
+        """For each text the number of its ids, or the ids' bytes; null and empty texts have none."""
+        out: list = [0 if self.counts else b""] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not plain(text):
+                ids = self.whole(text)
+                out[i] = len(ids) if self.counts else np.array(ids, "<u4").tobytes()
+                continue
+            for part in chunks(text):
+                held.append((i, split(part)))
+                size += len(part)
+                if size > 2 * CHUNK:
+                    self._flush(held, out)
+                    held, size = [], 0
+        self._flush(held, out)
         return out
 
-    def count(self, text: str) -> int:
-        return sum(self.values(text)) if plain(text) else len(self.whole(text))
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(self.values(text)), np.uint32) if plain(text) else np.array(self.whole(text), np.uint32)
+    def _flush(self, held: list[tuple[int, list[str]]], out: list) -> None:
+        self.learn(set().union(*(words for _, words in held)))
+        get = self.cache.__getitem__
+        for i, words in held:
+            out[i] += sum(map(get, words)) if self.counts else b"".join(map(get, words))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, value) -> Encoder:
+def encoder(path: str, counts: bool) -> Encoder:
     """This worker's encoder, kept over tasks."""
-    key = (path, value.__name__)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, value)
-    return _ENCODERS[key]
+    if (path, counts) not in _ENCODERS:
+        _ENCODERS[path, counts] = Encoder(path, counts)
+    return _ENCODERS[path, counts]
