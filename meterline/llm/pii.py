@@ -98,14 +98,14 @@ def learn_contexts(found: DataFrame, rounds: int = 3, support: int = 5, confiden
     Edges are distinct pairs, so copies of a document add nothing. A label needs `support` distinct scored values; what the
     graph holds is spread by label, then by value, and only sums and counts cross the network.
     """
-    edges = stage(found.where("label != ''").groupBy("label", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = stage(found.where("label != ''").groupBy("label", "value").agg(F.max("seed").alias("seed")), "pii-edges", few=True)
     known = edges.groupBy("value").agg(F.max("seed").alias("score"))
     labels = None
     for _ in range(rounds):
         scored = edges.join(known, "value").withColumn("score", F.greatest(F.col("seed"), F.col("score")))
-        labels = stage(scored.groupBy("label").agg((F.sum("score") / F.count("*")).alias("trust"), F.sum((F.col("score") >= 0.5).cast("int")).alias("n")).where(F.col("n") >= support).select("label", "trust"), "pii-labels")
+        labels = stage(scored.groupBy("label").agg((F.sum("score") / F.count("*")).alias("trust"), F.sum((F.col("score") >= 0.5).cast("int")).alias("n")).where(F.col("n") >= support).select("label", "trust"), "pii-labels", few=True)
         miss = F.least(F.lit(0.0), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
-        known = stage(edges.join(labels, "label").groupBy("value").agg((1 - F.exp(miss)).alias("score"), F.max("seed").alias("seed")).select("value", F.greatest("score", F.col("seed")).alias("score")), "pii-values")
+        known = stage(edges.join(labels, "label").groupBy("value").agg((1 - F.exp(miss)).alias("score"), F.max("seed").alias("seed")).select("value", F.greatest("score", F.col("seed")).alias("score")), "pii-values", few=True)
         known = known.unionByName(edges.where("seed > 0").join(known, "value", "left_anti").groupBy("value").agg(F.max("seed").alias("score")))
     sure = labels.where(F.col("trust") >= confidence).select("label")
     good = known.where(F.col("score") >= confidence).select("value")

@@ -23,9 +23,9 @@ from .common import documents, pieces, small_batches, stage, without
 #: Bytes of the q-gram that names a bucket.
 Q = 32
 #: Window starts that are handled at once; a longer text goes in parts.
-PART = 1 << 20
+PART = 1 << 18
 #: A bucket of more distinct members is not gathered: its windows are counted by Spark one by one.
-GATHER = 20_000
+GATHER = 8_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BASE = 0x9FB21C651E98DF25
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -162,7 +162,7 @@ def _surroundings(rows: DataFrame, length: int) -> DataFrame:
                     lo, more = x["place"] >> 16, x["place"] & 255
                     out.append((x["gram"], k1, k2, x["place"], x["n"], x["size"], raw[lo : lo + more + length]))
                     held += length
-                if held > 4 << 20:
+                if held > 1 << 20:
                     yield _batch(out)
                     out, held = [], 0
             if out:
@@ -183,7 +183,7 @@ def _refine(known: np.ndarray, alive: np.ndarray, then: np.ndarray) -> tuple[np.
     order = np.lexsort((then, known))
     a, b = known[order], then[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    name = np.cumsum(new) - 1
+    name = (np.cumsum(new) - 1).astype(np.int32)
     several = np.bincount(name)[name] > 1
     kept = order[several]
     return name[several], alive[kept]
@@ -202,13 +202,13 @@ def shared_windows(group: np.ndarray, dist: np.ndarray, more: np.ndarray, texts:
         table[i, w - dist[i] : w - dist[i] + len(t)] = np.frombuffer(t, np.uint8)
     ahead = length + more - dist  # bytes from the q-gram on that some window covers
     flags = np.zeros((n, w), bool)
-    back: list[tuple[np.ndarray, np.ndarray]] = [(group, np.arange(n))]
+    back: list[tuple[np.ndarray, np.ndarray]] = [(group.astype(np.int32), np.arange(n, dtype=np.int32))]
     for d in range(1, w):
         known, alive = back[-1]
         keep = dist[alive] >= d
         known, alive = known[keep], alive[keep]
         back.append(_refine(known, alive, table[alive, w - d]) if len(alive) else (known, alive))
-    known, alive = group, np.arange(n)
+    known, alive = back[0]
     on = {}
     for j in range(8, Q + 1, 8):  # all members reach past the q-gram
         words = np.ascontiguousarray(table[alive, w + j - 8 : w + j]).view(np.uint64)[:, 0]
@@ -257,7 +257,7 @@ def _refined(members: DataFrame, length: int) -> DataFrame:
         rows: list[tuple] = []
         for b in batches:
             rows += zip(*(b.column(c).to_pylist() for c in ("gram", "k1", "k2", "place", "n", "bytes")))
-            if len(rows) >= 4096:
+            if len(rows) >= 2048:
                 last = rows[-1][0]
                 at = len(rows)
                 while at and rows[at - 1][0] == last:
@@ -291,7 +291,7 @@ def _counted(members: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["gram", "window", "k1", "k2", "start", "n"])
 
     windows = stage(members.mapInArrow(run, "gram bigint, window bigint, k1 bigint, k2 int, start bigint, n bigint"), "windows")
-    twice = stage(windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "windows-twice")
+    twice = stage(windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "windows-twice", few=True)
     return windows.where("n = 1").join(twice, ["gram", "window"], "left_semi").select("k1", "k2", (F.shiftleft("start", 32) + F.col("start") + length).alias("span"))
 
 
@@ -310,16 +310,19 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", le
     others = [c for c in without(df, "kept", "n_bytes", "n_removed", "n_spans").columns if c != text]
     keyed = df.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(row_id), F.col(text)).alias("k1"), F.hash(F.col(text), F.col(row_id)).alias("k2"))
     members = _members(keyed.where(F.octet_length("text") >= length), length)
-    repeated = stage(members.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("gram"), "grams")
+    repeated = stage(members.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("gram"), "grams", few=True)
     again = stage(members.join(repeated, "gram"), "members")
-    covers = stage(again.groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")), "covers")
-    open_grams = stage(covers.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "open-grams")
+    covers = stage(again.groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")), "covers", few=True)
+    open_grams = stage(covers.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "open-grams", few=True)
     wanted = covers.join(open_grams, "gram").select("one.*", "gram", "n", "size").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "n", "size")).alias("wanted"))
     packed = _packed(keyed.select("k1", "k2", "text"))
-    around = stage(_surroundings(packed.join(wanted, ["k1", "k2"]), length), "surroundings")
+    around = _surroundings(packed.join(wanted, ["k1", "k2"]), length)
+    large = bool(open_grams.where(F.col("size") > gather).head(1))
+    if large:
+        around = stage(around, "surroundings")
     gathered = _refined(around.where(F.col("size") <= gather).select("gram", "k1", "k2", "place", "n", "bytes").repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place"), length)
     spans = [gathered]
-    if open_grams.where(F.col("size") > gather).head(1):
+    if large:
         spans.append(_counted(around.where(F.col("size") > gather), length))
     # members that cover the same bytes as another: all their windows are shared
     several = covers.where("n > 1").select("gram", "around")
@@ -329,7 +332,7 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", le
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
-    by_row = stage(every.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans")), "spans")
+    by_row = every.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
     joined = _packed(keyed).join(by_row, ["k1", "k2"], "left").drop("k1", "k2")
     names = [f"__{c}" for c in others]
 

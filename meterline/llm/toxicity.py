@@ -156,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, doc_id
     """
     chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null").where(~held_out("__id"))
     chosen = chosen.groupBy("__id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
-    rows = stage(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where(F.col(text).isNotNull()).join(F.broadcast(chosen), "__id"), "toxic-rows")
+    rows = stage(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).where(F.col(text).isNotNull()).join(F.broadcast(chosen), "__id"), "toxic-rows", few=True)
     calibrate = F.crc32(F.col("__id").cast("string")) % 4 == 3
     stats = rows.agg(F.count("*").alias("n"), F.sum("label").alias("bad")).first()
     base = (stats.bad or 0) / stats.n if stats.n else 0.0
     if not stats.bad or stats.bad == stats.n:
         return Model(Lexicon([], [], []), None, [], [], base)
     lexicon = learn_lexicon(rows.where(~calibrate))
-    table = stage(with_features(rows, lexicon).select("label", "features", calibrate.alias("calibrate")), "toxic-features")
+    table = stage(with_features(rows, lexicon).select("label", "features", calibrate.alias("calibrate")), "toxic-features", few=True)
     columns = {f"__f{i}": F.col("features")[i] for i in range(len(FEATURES))}
     train = VectorAssembler(inputCols=list(columns), outputCol="__vector").transform(table.where("not calibrate").withColumns(columns)).select("__vector", "label").repartition(4).cache()
     kinds = train.select("label").distinct().count()

@@ -203,7 +203,7 @@ def roles(pages: DataFrame, least: int = 1000) -> DataFrame:
     the largest id. Rows that share that id are all responses; so is a group without any id. The payload of a revisit is dropped.
     """
     p = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    kept = stage(p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null").select("digest", "winner"), "warc-winners")
+    kept = stage(p.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1 and winner is not null").select("digest", "winner"), "warc-winners", few=True)
     p = p.join(kept, "digest", "left")
     again = F.col("winner").isNotNull() & (F.col("size") >= least) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("winner")))
     return p.select(
