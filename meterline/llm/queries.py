@@ -16,4 +16,51 @@ QUERIES = {
     "op9_telephony_audio": media.op9_telephony_audio,
     "op10_histogram_sort": sharding.op10_histogram_sort,
 }
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every window of 200 bytes (400 hex digits), by its digest; a byte goes if one of the 200 windows over it occurs twice.
+_OP1 = """
+with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
+b as (select doc_id, h, length(h) // 2 as n, unnest(range(length(h) // 2)) as i from d),
+w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as x from b where i + 200 <= n),
+r as (select doc_id, i, count(*) over (partition by x) > 1 as again from w),
+c as (select b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) as byte, coalesce(max(cast(r.again as int)) over (partition by b.doc_id order by b.i rows between 199 preceding and current row), 0) as gone from b left join r on b.doc_id = r.doc_id and b.i = r.i),
+e as (select *, lag(gone, 1, 0) over (partition by doc_id order by i) as before from c),
+k as (select doc_id, sum(gone) as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end) as n_spans, coalesce(string_agg(byte, '' order by i) filter (gone = 0), '') as kept from e group by doc_id)
+select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+"""
+
+#: All pairs that share a shingle, then components by reachability.
+_OP2 = f"""
+with recursive t as (select doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, case when len(w) < 4 then array_to_string(w, ' ') else array_to_string(list_slice(w, i, i + 3), ' ') end as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as i from t where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 80 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, l.b from reach join l on reach.r = l.a),
+m as (select doc_id, min(r) as component_id from reach group by doc_id)
+select m.doc_id, coalesce(n.n, 0) as n_shingles, component_id, m.doc_id = component_id as kept from m left join n on m.doc_id = n.doc_id
+"""
+
+_OP6 = """
+with p as (select page_id, coalesce(html, '') as h, octet_length(encode(coalesce(html, ''))) as n from pages),
+q as (select page_id, n, sha1(h) as d, max(page_id) over (partition by h) as m, n >= 1000 and count(*) over (partition by h) > 1 as again from p),
+r as (select *, again and m is not null and (page_id is null or page_id <> m) as revisit from q)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when revisit then 'revisit' else 'response' end as record_type, case when revisit then m end as refers_to from r
+"""
+
+_WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+_OP7 = f"""
+with d as (select doc_id, regexp_extract_all({_LOWER.format("text")}, {_WORDS}) as w from documents),
+i as (select item_id, regexp_extract_all({_LOWER.format("text")}, {_WORDS}) as w from benchmark),
+iw as (select distinct item_id, l, array_to_string(list_slice(w, j, j + l - 1), ' ') as x from (select item_id, w, least(13, len(w)) as l, unnest(range(1, len(w) - least(13, len(w)) + 2)) as j from i where len(w) > 0)),
+dw as (select doc_id, l, j, array_to_string(list_slice(w, j, j + l - 1), ' ') as x from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as j from d, (select distinct l from iw) where len(w) >= l)),
+h as (select doc_id, dw.l, j, item_id from dw join iw on dw.l = iw.l and dw.x = iw.x),
+n as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(j, j + l)) as k from h) group by doc_id),
+m as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, cast(item_id as varchar) as item_id from h) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join n on d.doc_id = n.doc_id left join m on d.doc_id = m.doc_id
+"""
+
+#: Queries 3 and 8 need a tokenizer, 4, 5 and 10 results of a method, 9 a codec: they are tested against brute force instead.
+ORACLES: dict[str, str] = {"op1_bucket_pointer_refinement": _OP1, "op2_odd_sketches": _OP2, "op6_warc": _OP6, "op7_decontamination": _OP7}

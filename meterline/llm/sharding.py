@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,9 +95,7 @@ def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24,
     offset = (starts - np.repeat(starts[::each], each)).tolist()
 
     @F.pandas_udf("int")
-    def cell(k):
-        import pandas as pd
-
+    def cell(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, k.to_numpy(), side="right").astype(np.int32))
 
     ties = [F.col(f"`{f.name}`") for f in df.schema if f.name not in ("__key", "__size") and f.dataType.simpleString() in ("bigint", "int", "string")]
