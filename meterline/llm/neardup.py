@@ -12,6 +12,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -21,15 +22,19 @@ from .bytewords import NOT_BLANK, Words, grams, mix
 from .common import append_columns, documents, pieces, small_batches, stage, without
 
 ROWS, BANDS = 5, 28
-SKETCH_BITS = 512
-#: A sketch estimate this far below the threshold (over five standard errors) rejects a pair unseen.
-MARGIN = 0.2
-#: Centres of an unresolved bucket grow by this factor a round, until every member is one: then no link can be missed.
-GROWTH = 8
+#: MinHash values: the bands take the first ROWS * BANDS, the sketch folds all of them.
+SAMPLES, SKETCH_BITS = 280, 1024
+#: Bits of the parity bitmap of the whole set. Two bitmaps differ in no more bits than the sets in elements, so it bounds the
+#: similarity from above and never rejects a link.
+PARITY_BITS = 4096
+#: A sketch estimate this far below the threshold (about five standard errors) rejects a pair unseen.
+MARGIN = 0.13
+#: Centres of an unresolved bucket in each round; in the last, all of its members, so no link is missed for want of a centre.
+CENTRES = (1, 16, None)
 
 _RNG = np.random.default_rng(20240229)
-_A = (_RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-_B = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)[:, None]
+_A = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
+_B = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
@@ -56,30 +61,47 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(values: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, for MinHash values in rows."""
-    v = values.reshape(len(values), BANDS, ROWS).astype(np.uint64)
+    v = values[:, : ROWS * BANDS].reshape(len(values), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), v.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key ^ v[:, :, r])
     return key.view(np.int64)
 
 
+def parities(row: np.ndarray, values: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """For each of n rows a bitmap, as signed 64-bit words: a bit is set if an odd number of the row's values hash to it."""
+    at = row * bits + (mix(values) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def odd_sketches(values: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of MinHash values in rows, as signed 64-bit words."""
+    """Odd sketches of MinHash values in rows."""
     n, k = values.shape
-    bit = mix((np.arange(k, dtype=np.uint64)[None, :] << np.uint64(32)) | values) % np.uint64(SKETCH_BITS)
-    flat = (np.arange(n)[:, None] * SKETCH_BITS + bit.astype(np.int64)).ravel()
-    odd = (np.bincount(flat, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
-    return np.packbits(odd, axis=1).view(np.int64)
+    named = (np.arange(k, dtype=np.uint64)[None, :] << np.uint64(32)) | values
+    return parities(np.repeat(np.arange(n), k), named.ravel(), n, SKETCH_BITS)
+
+
+def set_parities(sets: list[np.ndarray]) -> np.ndarray:
+    out = []
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        out.append(parities(np.repeat(np.arange(len(part)), [len(s) for s in part]), np.concatenate(part), len(part), PARITY_BITS))
+    return np.concatenate(out)
 
 
 def most_flips(threshold: float) -> int:
     """The largest XOR population count that still leaves an estimate of threshold - MARGIN."""
-    differ = 2 * ROWS * BANDS * (1 - max(0.0, threshold - MARGIN))
+    differ = 2 * SAMPLES * (1 - max(0.0, threshold - MARGIN))
     return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
 
 
+def _lists(table: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, table.size + 1, table.shape[1], dtype=np.int32), np.ascontiguousarray(table).ravel())
+
+
 def _signatures(df: DataFrame, text: str, k: int) -> DataFrame:
-    schema = pa.schema([("__n", pa.int64()), ("__node", pa.int64()), ("__bands", pa.list_(pa.int64())), ("__sketch", pa.list_(pa.int64())), ("__packed", pa.binary())])
+    schema = pa.schema([("__n", pa.int64()), ("__node", pa.int64()), ("__bands", pa.list_(pa.int64())), ("__sketch", pa.list_(pa.int64())), ("__parity", pa.list_(pa.int64())), ("__packed", pa.binary())])
 
     def make():
         press = zstandard.ZstdCompressor(level=1)
@@ -94,24 +116,23 @@ def _signatures(df: DataFrame, text: str, k: int) -> DataFrame:
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int(x) if y else None for x, y in zip(node.view(np.int64), some)], pa.int64()),
-                pa.array([list(b) if y else [] for b, y in zip(bands, some)], pa.list_(pa.int64())),
-                pa.array([list(s) if y else [] for s, y in zip(sketches, some)], pa.list_(pa.int64())),
+                _lists(bands),
+                _lists(sketches),
+                _lists(set_parities(sets)),
                 pa.array([None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary()),
             ]
 
         return run
 
-    return append_columns(df, [text], schema, "__n bigint, __node bigint, __bands array<bigint>, __sketch array<bigint>, __packed binary", make)
+    return append_columns(df, [text], schema, "__n bigint, __node bigint, __bands array<bigint>, __sketch array<bigint>, __parity array<bigint>, __packed binary", make)
 
 
 def _unpacked(packed: str) -> Column:
-    def run(values):
-        import pandas as pd
-
+    def run(values: pd.Series) -> pd.Series:
         z = zstandard.ZstdDecompressor()
         return pd.Series([None if p is None else z.decompress(p).decode("utf-8", "surrogatepass") for p in values], dtype=object)
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(packed)
+    return F.pandas_udf(run, "string")(packed)
 
 
 def _confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -120,7 +141,7 @@ def _confirmed(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
-            for b in pieces(batch, ["pa", "pb"], 1 << 20):
+            for b in pieces(batch, ["pa", "pb"], 1 << 18):
                 both = [z.decompress(x).decode("utf-8", "surrogatepass") for c in ("pa", "pb") for x in b.column(c).to_pylist()]
                 sets = shingle_sets(Words(both, NOT_BLANK), k)
                 n = b.num_rows
@@ -139,31 +160,41 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along edges and then jump to their own label's label; every round is a written table.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", few=True)
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels", few=True)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = stage(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), "labels")
+        new = stage(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), "labels", few=True)
         labels = new.select("node", "label")
         if not new.where("moved").head(1):
             return labels
 
 
-def _flips(a: Column, b: Column) -> Column:
+def _flips(a: Column, b: Column, bits: int) -> Column:
     total = F.lit(0)
-    for i in range(SKETCH_BITS // 64):
+    for i in range(bits // 64):
         total = total + F.bit_count(a[i].bitwiseXOR(b[i]))
     return total
 
 
+def _close(a: str, b: str, percent: int) -> Column:
+    """May the rows with suffixes a and b be linked? By size, by the sketches' estimate and by the parity bitmaps' bound."""
+    c = lambda n: (F.col(n + a), F.col(n + b))
+    (na, nb), limit = c("n"), most_flips(percent / 100)
+    sized = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    sketched = _flips(*c("sketch"), SKETCH_BITS) <= limit
+    bounded = (100 + percent) * _flips(*c("parity"), PARITY_BITS) <= (100 - percent) * (na + nb)
+    return sized & sketched & bounded
+
+
 def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """df with `n_shingles`, `component_id` (the smallest id of all that links lead to) and `kept` (the row has that id).
 
     A link: Jaccard similarity of the sets of `shingle`-word shingles is `percent` / 100 at least. Of pairs at exactly 0.8
     one in 70,000 shares no band (fewer above); pairs that do are compared unless other links already join them, in rounds
-    whose centres grow until all members of a bucket are centres, so nothing is capped.
+    of more centres, in the last of which all members of a bucket are centres, so nothing is capped.
 
     Null and empty texts, and those without words, link with nothing and are kept; a null id joins groups but never names one
     unless all its ids are null; repeated rows share an id and so stay or go together; columns with an output's name are
@@ -177,49 +208,58 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
     signed = _signatures(rows, "__text", shingle).drop("__text")
     signed = stage(signed, "signatures")
     classes = stage(
-        signed.where("__node is not null").groupBy(F.col("__node").alias("node")).agg(F.min("__id").alias("low"), F.max("__n").alias("n"), F.min_by(F.struct("__bands", "__sketch"), F.xxhash64("__id")).alias("s"))
-        .select("node", "low", "n", F.col("s.__bands").alias("bands"), F.col("s.__sketch").alias("sketch")),
+        signed.where("__node is not null").groupBy(F.col("__node").alias("node")).agg(F.min("__id").alias("low"), F.max("__n").alias("n"), F.min_by(F.struct("__bands", "__sketch", "__parity"), F.xxhash64("__id")).alias("s"))
+        .select("node", "low", "n", F.col("s.__bands").alias("bands"), F.col("s.__sketch").alias("sketch"), F.col("s.__parity").alias("parity")),
         "classes",
     )
-    members = classes.select(F.explode("bands").alias("band"), "node")
-    shared = stage(members.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = classes.select(F.posexplode("bands").alias("no", "band"), "node")
+    shared = stage(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets", few=True)
     bucket = stage(members.join(shared, "band"), "bucket-members")
-    limit = most_flips(percent / 100)
-    light = classes.select("node", "n", "sketch")
-    labels, texts, links, tried, round_no = None, None, None, None, 0
-    while True:
-        if round_no == 0:
-            pairs = bucket.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            named = bucket.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-            split = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.max("size").alias("size")).where("l0 <> l1").select("band")
-            open_rows = stage(named.join(split, "band", "left_semi"), "open-rows")
-            if not open_rows.head(1):
+    # a text in the middle of its group meets more others than one at the edge: the best centre links most at once
+    degree = bucket.groupBy("node").agg(F.sum("size").alias("degree"))
+    middle = bucket.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
+    first = bucket.join(stage(middle, "centres", few=True), "band").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    sides = [classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parity")]) for x in "ab"]
+    right = sides[1].withColumnRenamed("b", "b2")
+    likely = first.join(sides[0], "a").join(right, (F.col("b") == F.col("b2")) & _close("_a", "_b", percent)).select("a", "b")
+    labels, texts, links, tried = None, None, None, None
+    for centres in CENTRES:
+        if centres != CENTRES[0]:
+            if tried is None:
+                named = bucket.withColumn("label", F.col("node"))
+            else:
+                named = bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            named = named.where("size > 2")  # pairs are settled by the first round
+            split = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
+            rows = named.join(split, "band", "left_semi").join(classes.select("node", "n", "bands", "sketch", "parity"), "node")
+            chosen = F.lit(True) if centres is None else F.pmod(F.xxhash64("node", "band"), F.col("size")) < centres
+            rows = stage(rows.withColumn("chosen", chosen), "open-rows", few=True)
+            if not rows.head(1):
                 break
-            centres = open_rows.where(F.pmod(F.xxhash64("node", "band"), F.col("size")) < GROWTH**round_no).select("band", F.col("node").alias("c"), F.col("label").alias("cl"))
-            pairs = open_rows.join(centres, "band").where("label <> cl").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        sketched = pairs.join(light.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(light.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        likely = stage(sketched.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_flips(F.col("sa"), F.col("sb")) <= limit)).select("a", "b"), "likely")
-        if likely.head(1):
-            needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-            owner = classes.select("node", "low")
-            if texts is not None:
-                needed = needed.join(texts.select("node"), "node", "left_anti")
-            found = signed.select(F.col("__node").alias("node"), F.col("__id"), F.col("__packed").alias("packed")).join(needed.join(owner, "node"), "node").where(F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low").dropDuplicates(["node"])
-            found = stage(found, "texts")
-            texts = found if texts is None else texts.unionByName(found)
-            full = likely.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-            good = stage(_confirmed(full, shingle, percent), "links")
-            links = good if links is None else links.unionByName(good)
-            labels = components(links)
-        elif labels is None:
-            labels = likely.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        round_no += 1
-        done = shared.agg(F.max("size").alias("m")).first().m
-        if done is None or GROWTH ** (round_no - 1) >= done and round_no > 1:
-            break
+            o = rows.select("no", "band", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bands", "sketch", "parity", "chosen")])
+            c = rows.where("chosen").select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bands", "sketch", "parity")])
+            # only close pairs of different components leave the join, each from the first band that it shares
+            once = (F.col("label_a") != F.col("label_b")) & (~F.col("chosen_a") | (F.col("node_a") < F.col("node_b")))
+            here = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("no") + 1
+            likely = o.join(c, (o["band"] == c["band"]) & once & _close("_a", "_b", percent) & here).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            likely = likely.join(tried, ["a", "b"], "left_anti") if tried is not None else likely
+        likely = stage(likely, "likely", few=True)
+        if not likely.head(1):
+            continue
+        tried = likely if tried is None else tried.unionByName(likely)
+        needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        if texts is not None:
+            needed = needed.join(texts.select("node"), "node", "left_anti")
+        owners = needed.join(classes.select("node", "low"), "node")
+        found = signed.select(F.col("__node").alias("node"), F.col("__id"), F.col("__packed").alias("packed")).join(owners, "node").where(F.col("__id").eqNullSafe(F.col("low"))).drop("__id", "low").dropDuplicates(["node"])
+        found = stage(found, "texts", few=True)
+        texts = found if texts is None else texts.unionByName(found)
+        full = likely.join(texts.toDF("a", "pa"), "a").join(texts.toDF("b", "pb"), "b")
+        good = stage(_confirmed(full, shingle, percent), "links", few=True)
+        links = good if links is None else links.unionByName(good)
+        labels = components(links)
+    if labels is None:
+        labels = classes.select("node", F.col("node").alias("label")).limit(0)
     named = classes.select("node", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of = named.join(lowest, "label").select(F.col("node").alias("__node"), "component_id")
