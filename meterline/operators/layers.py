@@ -146,3 +146,28 @@ def feature_rows(path_json: DataFrame) -> DataFrame:
 def as_page_json(value: object) -> str:
     """JSON that is safe inside a script element."""
     return json.dumps(value, ensure_ascii=False).replace("</", "<\\/")
+
+
+def natural_order(df: DataFrame, id_column: str) -> DataFrame:
+    """Rows by the number an id begins with, then by the id: 2A before 10."""
+    return df.orderBy(F.regexp_extract(id_column, "^([0-9]+)", 1).try_cast("long").asc_nulls_last(), id_column)
+
+
+def with_total(df: DataFrame, key: str, *amounts: str) -> DataFrame:
+    """df by key, with a last row (key null, total true) of the sums."""
+    return df.rollup(key).agg(F.grouping(key).alias("g"), *[F.sum(a).alias(a) for a in amounts]).select(F.col(key), (F.col("g") == 1).alias("total"), *amounts)
+
+
+def missing_keys(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Keys of `wanted` that `known` lacks."""
+    return wanted.select(key).where(F.col(key).isNotNull()).distinct().join(known.select(key), key, "left_anti")
+
+
+def rounded(coordinates: Column, digits: int = 5) -> Column:
+    """A ring's coordinates (array of arrays of double), rounded."""
+    return F.transform(coordinates, lambda p: F.transform(p, lambda v: F.round(v, digits)))
+
+
+def in_box(x: Column, y: Column, left: float, top: float, right: float, bottom: float) -> Column:
+    """Whether a pixel lies inside a region of the picture (a legend, an inset)."""
+    return x.between(left, right) & y.between(top, bottom)

@@ -71,3 +71,19 @@ def reach_statistics(table: DataFrame) -> DataFrame:
     """Fewest, median and most zones a meter reaches."""
     n = table.groupBy("meter").agg(F.count("*").alias("n"))
     return n.agg(F.min("n").alias("fewest"), F.percentile_approx("n", 0.5).alias("median"), F.max("n").alias("most"))
+
+
+def nearest_line(left: DataFrame, lines: DataFrame, radius: float, fallback: DataFrame | None = None) -> DataFrame:
+    """For each left row (id, x, y) the nearest line (name, ax, ay, bx, by: segments) within `radius`, else the fallback's name.
+
+    A segment is registered in the grid cells of its box, so a point meets only segments nearby. fallback: id, name.
+    """
+    span = lambda a, b: F.sequence(_cell(F.least(a, b) - radius, radius), _cell(F.greatest(a, b) + radius, radius))
+    tiled = lines.withColumn("cx", F.explode(span("ax", "bx"))).withColumn("cy", F.explode(span("ay", "by")))
+    at = left.withColumns({"cx": _cell(F.col("x"), radius), "cy": _cell(F.col("y"), radius)})
+    d = geo.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    best = at.join(tiled, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).groupBy("id").agg(F.min(F.struct("distance", "name")).alias("b")).select("id", "b.name", "b.distance")
+    out = left.select("id").join(best, "id", "left")
+    if fallback is None:
+        return out
+    return out.join(fallback.select("id", F.col("name").alias("other")), "id", "left").select("id", F.coalesce("name", "other").alias("name"), "distance")

@@ -466,3 +466,29 @@ def georeference(spark, d):
 def ocr_labels(spark, d):
     p = table(spark, d, "part").withColumn("raw", F.concat((F.col("p_size") * 11).cast("string"), F.element_at(F.array(F.lit(" 8"), F.lit("b"), F.lit("A"), F.lit("B")), (F.col("p_partkey") % 4 + 1).cast("int"))))
     return p.select("p_partkey", text.label_number(F.col("raw"), F.lit("B")).alias("number"))
+
+
+# ---- small helpers of the inventory ----
+
+@query("nearest_line", f"select a.id, coalesce(arg_min(l.name, (l.d, l.name)) filter (l.d <= 6), 'far ' || a.id % 3) as name, round(min(l.d) filter (l.d <= 6), 6) as distance from ({_V}) a join (select b.id, 'line ' || i as name, sqrt((b.x - least(greatest(b.x, -30), 30)) ** 2 + (b.y - i * 20) ** 2) as d from ({_V}) b, range(-2, 3) r(i)) l on a.id = l.id group by a.id")
+def nearest_line(spark, d):
+    lines = spark.range(-2, 3).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("name"), F.lit(-30.0).alias("ax"), (F.col("id") * 20.0).alias("ay"), F.lit(30.0).alias("bx"), (F.col("id") * 20.0).alias("by"))
+    v = vectors(spark, d)
+    far = v.select("id", F.concat(F.lit("far "), (F.col("id") % 3).cast("string")).alias("name"))
+    return nearest.nearest_line(v, lines, 6.0, far).select("id", "name", F.round("distance", 6).alias("distance"))
+
+
+@query("totals_by_region", "select r_name, grouping(r_name) = 1 as total, count(*) as nations, sum(n_nationkey) as keys from nation join region on n_regionkey = r_regionkey group by rollup (r_name)")
+def totals_by_region(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.lit(1).alias("nations"), F.col("n_nationkey").alias("keys"))
+    return layers.with_total(n, "r_name", "nations", "keys")
+
+
+@query("missing_keys", "select distinct c_nationkey + 3 as key from customer where c_nationkey + 3 not in (select n_nationkey from nation)")
+def missing_keys(spark, d):
+    return layers.missing_keys(table(spark, d, "customer").select((F.col("c_nationkey") + 3).alias("key")), table(spark, d, "nation").select(F.col("n_nationkey").alias("key")), "key")
+
+
+@query("ordered_meters", "select meter, m.meter_zone as zone from meters m", "meters")
+def ordered_meters(spark, d):
+    return layers.natural_order(ref(spark).meters, "meter").select("meter", F.col("meter_zone").alias("zone"))

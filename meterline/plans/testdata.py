@@ -81,6 +81,17 @@ def reference(spark: SparkSession, with_paid_zones: bool = True) -> Reference:
     )
 
 
+def sample_aggregates(spark: SparkSession, zones: int = 16) -> DataFrame:
+    """Zone metrics made by rule: zones x seasons x blocks, some cells too few, three missing. A fixture for what builds on them."""
+    s = Settings()
+    cells = spark.range(zones).withColumn("period", F.explode(F.array(*[F.lit(p) for p in s.seasons]))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(s.blocks) - 1))))
+    block = F.element_at(F.array(*[F.lit(b.name) for b in s.blocks]), F.col("b") + 1)
+    n = F.col("id") * 7 + F.col("b") * 3 + F.length("period")
+    few = n % 11 == 0
+    made = cells.select(F.concat(F.lit("90-0"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("zone"), block.alias("block"), "period", F.when(~few, 30 + n % 90).alias("cards"), F.when(~few, (n % 40) / 80.0).alias("pressure"), few.alias("too_few"), (F.col("id") % 3 != 0).alias("paid_zone"))
+    return made.where("not (zone = '90-003' and block = '16-19') and not (zone = '90-005' and block = '07-10' and period = 'summer')")
+
+
 def _split(listed: str) -> list[str]:
     out, depth, at = [], 0, 0
     for i, c in enumerate(listed):

@@ -182,3 +182,24 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rings.srid == 2180 and [tuple(p) for p in rings.ring][1] == (1.0, 0.0)
     sinks.write_csv(good, str(tmp_path / "c"), mark=True)
     assert sinks.write_rows(good, str(tmp_path / "r")) == 1
+
+
+def test_small_helpers(spark):
+    ids = spark.createDataFrame([("10B",), ("2A",), ("x",), ("2",)], "id string")
+    assert [r.id for r in layers.natural_order(ids, "id").collect()] == ["2", "2A", "10B", "x"]
+    lines = spark.createDataFrame([("near", 0.0, 0.0, 10.0, 0.0), ("tilted", 0.0, 100.0, 30.0, 130.0)], "name string, ax double, ay double, bx double, by double")
+    at = spark.createDataFrame([(1, 5.0, 3.0), (2, 16.0, 114.0), (3, 500.0, 0.0)], "id long, x double, y double")
+    got = {r.id: (r.name, r.distance) for r in nearest.nearest_line(at, lines, 30.0, spark.createDataFrame([(3, "own")], "id long, name string")).collect()}
+    assert got[1] == ("near", 3.0) and got[2] == ("tilted", pytest.approx(math.sqrt(2))) and got[3] == ("own", None)
+    ring = spark.range(1).select(layers.rounded(F.array(F.array(F.lit(1.234567), F.lit(2.0))), 2)).first()[0]
+    assert ring == [[1.23, 2.0]]
+
+
+def test_sample_aggregates_feed_the_model(spark):
+    from meterline.plans import testdata
+
+    z = tables.check_contract(testdata.sample_aggregates(spark), "zone_metrics")
+    t = levels.level_table(z, S)
+    assert z.count() == 16 * 8 - 3 and t.count() == 16 * 8
+    assert t.where("note = '' and level is null").count() == 0
+    assert levels.schedule(t, "summer", S).columns == ["zone", *[b.name for b in S.blocks]]
