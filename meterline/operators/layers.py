@@ -66,11 +66,11 @@ def types_in_words(shares: DataFrame) -> DataFrame:
 def demand_circles(paid_hours: DataFrame, places: DataFrame, period: str, block: str, largest: float = 220.0) -> DataFrame:
     """Paid hours of one season and block at the zones' centres; a circle's area is in proportion, the largest cell of all
     seasons and blocks has radius `largest`. Large circles come first."""
-    top = paid_hours.agg(F.max("paid_hours").alias("top"))
+    top = paid_hours.agg(F.max("paid_hours").alias("top")).where("top > 0").scalar()
     at = paid_hours.where((F.col("period") == period) & (F.col("block") == block)).join(places.where("lat is not null and lon is not null").select("zone", "lat", "lon", "streets"), "zone")
-    radius = F.lit(largest) * F.sqrt(F.greatest("paid_hours", F.lit(0.0)) / F.col("top"))
-    # the aggregate is a single row, so this attaches a constant
-    return at.join(F.broadcast(top.where("top > 0"))).select("zone", "lat", "lon", F.coalesce("streets", F.lit("")).alias("streets"), "paid_hours", "cards", radius.alias("radius_m")).orderBy(F.desc("paid_hours"), "zone")
+    radius = F.lit(largest) * F.sqrt(F.greatest("paid_hours", F.lit(0.0)) / top)
+    out = at.select("zone", "lat", "lon", F.coalesce("streets", F.lit("")).alias("streets"), "paid_hours", "cards", radius.alias("radius_m"))
+    return out.where("radius_m is not null").orderBy(F.desc("paid_hours"), "zone")
 
 
 def meters_on_map(meters: DataFrame) -> DataFrame:

@@ -300,8 +300,32 @@ def cost_breakdown(spark, d):
     return decisions.cost_breakdown(level_rows(spark, d), out(spark, d, "group_metrics"), POLICY)
 
 
-@query("driver_cards")
+def _plan_sql(f: str, t: str, a: str) -> str:
+    """A rate plan in words, over columns fm and flat and the three named rates."""
+    zl = lambda c: f"replace(printf('%.2f', {c}), '.', ',') || ' zł'"
+    return f"'Pierwsze ' || fm || ' min kosztuje ' || {zl(f)} || case when flat then '' else '/h' end || ', potem ' || {zl(t)} || '/h' || case when {a} <> {t} then ', po 2 h ' || {zl(a)} || '/h' else '' end || '.'"
+
+
+_FREE = "'Parkowanie bezpłatne (strefa płatna działa pn–pt 7–19).'"
+_RES = ", ".join(f"round(cast({c} as double) * 5.1, 2) as r{c}" for c in "fta")
+
+
+def _hours(prefix: str, names: tuple[str, str, str]) -> str:
+    f, t, a = names
+    cost = lambda m: _cost(str(m)).replace("fr", f).replace("tr", t).replace("ar", a)
+    return ", ".join(f"case when block is null then 0.0 else round({cost(60 * h)} - ({cost(60 * h - 60)}), 2) end as {prefix}hour_{h}" for h in (1, 2, 3))
+
+
+_ASKED = "(select event_id as request_id, '90-00' || (user_id % 4) as zone, case when day(ts) <= 15 then 'S1' else 'S2' end as period, case when isodow(ts) <= 5 then case when hour(ts) between 7 and 9 then '07-10' when hour(ts) between 10 and 12 then '10-13' when hour(ts) between 13 and 15 then '13-16' when hour(ts) between 16 and 18 then '16-19' end end as block from events where event_id < 400)"
+
+
+@query(
+    "driver_cards",
+    f"select request_id, zone, period, block, level, note, until, dominant_group, shift, case when block is null then {_FREE} else 'Ta strefa ma teraz poziom ' || level || ' (do ' || until || '). ' || {_plan_sql('fr', 'tr', 'ar')} end as message, case when block is null then {_FREE} else 'Ta strefa ma teraz poziom ' || level || ' (do ' || until || '). ' || {_plan_sql('rf', 'rt', 'ra')} end as resident_message, {_hours('', ('fr', 'tr', 'ar'))}, {_hours('resident_', ('rf', 'rt', 'ra'))} from (select q.*, u.level, u.note, u.until, g.dominant_group, {_SHIFT} as shift, least(free + {_SHIFT}, 60) as fm, flat, round(cast(f as double) * 6.0, 2) as fr, round(cast(t as double) * 6.0, 2) as tr, round(cast(a as double) * 6.0, 2) as ar, {_RES} from {_ASKED} q left join ({_UNTIL}) u on q.zone = u.zone and q.period = u.period and q.block = u.block left join {_DOM} g on q.zone = g.zone and q.period = g.period and q.block = g.block left join {_LEVELS} on u.level = t.level)",
+    "lv", "gm",
+)
 def driver_cards(spark, d):
+    """Zones without a table of levels keep nulls; outside the blocks parking is free."""
     asked = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("request_id"), F.concat(F.lit("90-00"), (F.col("user_id") % 4).cast("string")).alias("zone"), F.when(F.dayofmonth("ts") <= 15, "S1").otherwise("S2").alias("period"), F.col("ts").cast("timestamp").alias("at"))
     return decisions.driver_cards(asked, levels.valid_until(level_rows(spark, d)), out(spark, d, "group_metrics"), POLICY, S)
 
@@ -357,15 +381,35 @@ def zones_with_types(spark, d):
     return layers.with_types(layers.type_shares(out(spark, d, "group_metrics"), "S2", "10-13", S), ["short", "shopping"], 20, all_of=True)
 
 
-@query("demand_circles")
+@query(
+    "demand_circles",
+    "select c.zone, 51.7 + i / 100 as lat, 19.4 + i / 100 as lon, 'street ' || i as streets, round(h, 6) as paid_hours, c.cards, round(220 * sqrt(greatest(h, 0) / top), 6) as radius_m from (select *, max(h) over () as top from (select c.zone, c.block, c.period, quantile_disc(coalesce(q.hours, 0.0), 0.5) as h, any_value(c.cards) as cards from (select meter_zone as zone, block, period, count(distinct card) as cards from met where meter_zone is not null group by all) c join weeks w using (period) left join (select meter_zone as zone, block, period, week, sum(minutes) / 60 as hours from met where meter_zone is not null group by all) q on c.zone = q.zone and c.block = q.block and c.period = q.period and w.week = q.week group by c.zone, c.block, c.period) where cards >= {k}) c join range(0, 4) r(i) on c.zone = '90-00' || i where period = 'S2' and block = '10-13'",
+    "met", "weeks",
+)
 def demand_circles(spark, d):
     places = spark.createDataFrame([(f"90-00{i}", 51.7 + i / 100, 19.4 + i / 100, f"street {i}") for i in range(4)], "zone string, lat double, lon double, streets string")
-    return layers.demand_circles(out(spark, d, "paid_hours"), places, "S2", "10-13")
+    c = layers.demand_circles(out(spark, d, "paid_hours"), places, "S2", "10-13")
+    return c.select("zone", "lat", "lon", "streets", *r6("paid_hours"), "cards", *r6("radius_m"))
+
+
+def _curve(h: str) -> str:
+    """The monotone cubic in SQL, over columns y0 .. y3."""
+    d = [f"((y{i + 1} - y{i}) / 3.0)" for i in range(3)]
+    m = ["0.0", *[f"(case when {d[i]} * {d[i + 1]} > 0 then 2 / (1 / {d[i]} + 1 / {d[i + 1]}) else 0.0 end)" for i in range(2)], "0.0"]
+    parts = []
+    for i in range(3):
+        t = f"(({h} - {8.5 + 3 * i}) / 3.0)"
+        parts.append(f"when {h} <= {11.5 + 3 * i} then (2 * {t} ** 3 - 3 * {t} ** 2 + 1) * y{i} + ({t} ** 3 - 2 * {t} ** 2 + {t}) * 3 * {m[i]} + (-2 * {t} ** 3 + 3 * {t} ** 2) * y{i + 1} + ({t} ** 3 - {t} ** 2) * 3 * {m[i + 1]}")
+    return f"case when {h} <= 8.5 then y0 {' '.join(parts)} else y3 end"
+
+
+_KNOTS = [0.0, *ZONES.cuts, 2 * ZONES.cuts[-1]]
+_SCALE = "case " + " ".join(f"when p <= {_KNOTS[i]} then {i - 1} + (p - {_KNOTS[i - 1]}) / {_KNOTS[i] - _KNOTS[i - 1]}" for i in range(1, 5)) + " else 4.0 end"
 
 
-@query("playback")
+@query("playback", f"select zone, minute, round({_SCALE}, 6) as scale from (select zone, minute, greatest(0.0, {_curve('h')}) as p from (select zone, minute, minute / 60 as h, y0, y1, y2, y3 from (select zone, " + ", ".join(f"coalesce(max(case when block = '{b.name}' then pressure end), 0.0) as y{i}" for i, b in enumerate(S.blocks)) + " from lv where period = 'S2' group by zone), (select unnest(range(420, 1141, 30)) as minute)))", "lv")
 def playback(spark, d):
-    return layers.playback(levels.day_profile(level_rows(spark, d), "S2", ZONES), ZONES)
+    return layers.playback(levels.day_profile(level_rows(spark, d), "S2", ZONES), ZONES).select("zone", "minute", F.round("scale", 6).alias("scale"))
 
 
 _STREETS = "select concat('Z', l_orderkey % 50) as zone, concat('street ', l_partkey % 40) as street, cast(l_suppkey as double) as x, cast(l_linenumber as double) as y from lineitem"
@@ -441,19 +485,20 @@ def places_within(spark, d):
 
 @query("meter_reach", f"select a.id as meter, concat('Z', i, '_', j) as zone, round(sqrt(greatest(i * 10 - x, x - i * 10 - 8, 0) ** 2 + greatest(j * 10 - y, y - j * 10 - 8, 0) ** 2), 1) as distance, 'radius' as origin from ({_V}) a, range(-4, 5) r(i), range(-4, 5) q(j) where sqrt(greatest(i * 10 - x, x - i * 10 - 8, 0) ** 2 + greatest(j * 10 - y, y - j * 10 - 8, 0) ** 2) <= 5")
 def meter_reach(spark, d):
-    n = spark.range(-4, 5)
-    boxes = n.select(F.col("id").alias("i")).join(n.select(F.col("id").alias("j")))  # 81 squares, a fixture
+    boxes = spark.range(-4, 5).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("j"))
     at = lambda dx, dy: F.struct((F.col("i") * 10.0 + dx).alias("x"), (F.col("j") * 10.0 + dy).alias("y"))
     zones = boxes.select(F.concat_ws("_", F.concat(F.lit("Z"), F.col("i").cast("string")), F.col("j").cast("string")).alias("zone"), F.array(at(0, 0), at(8, 0), at(8, 8), at(0, 8)).alias("ring"))
     return nearest.reach(vectors(spark, d).select(F.col("id").alias("meter"), "x", "y", F.lit(None).cast("string").alias("zone")), zones, radius=5.0)
 
 
-@query("grid_positions")
+@query("grid_positions", "select event_id, round(51.6 + user_id / 1000, 6) as lat, round(19.2 + user_id / 800, 6) as lon from events")
 def grid_positions(spark, d):
+    """Positions to the national grid and back."""
     at = table(spark, d, "events").select("event_id", (F.lit(51.6) + F.col("user_id") / 1000).alias("lat"), (F.lit(19.2) + F.col("user_id") / 800).alias("lon"))
     x, y = geo.to_grid(F.col("lat"), F.col("lon"))
     back = geo.to_degrees(F.col("x"), F.col("y"))
-    return at.withColumns({"x": x, "y": y}).withColumns({"lat_back": back[0], "lon_back": back[1]})
+    grid = at.withColumns({"x": x, "y": y})
+    return grid.select("event_id", F.round(back[0], 6).alias("lat"), F.round(back[1], 6).alias("lon"))
 
 
 @query("georeference")
