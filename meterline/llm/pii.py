@@ -26,7 +26,7 @@ _OCTET = r"0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: Identifier-like: 6 to 64 characters, a digit among them.
 VALUE = r"(?<![A-Za-z0-9._%+@\-])(?=[A-Za-z._%+@\-]{0,63}+[0-9])[A-Za-z0-9._%+@\-]{6,64}+(?![A-Za-z0-9._%+@\-])"
 #: A field label: a word and a sign before the value, quotes or brackets between.
-LABEL = r"(\p{L}[\p{L}\p{N}_.]{1,31})\x20{0,2}[:=#]\x20{0,2}[\"'(<\[]{0,2}$"
+LABEL = r"(\p{L}[\p{L}\p{N}_.]{1,31})\x20{0,2}[:=#]\x20{0,2}[\"'(<\[]{0,2}"
 SPAN = "struct<kind:string,start:int,end:int,value:string,label:string>"
 
 
@@ -69,7 +69,7 @@ def matches(text: Column, pattern: str, kind: str, worth: Column) -> Column:
     def step(state, pair):
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.lower(F.regexp_extract(F.right(pair["gap"], F.lit(48)), LABEL, 1)).alias("label"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.lower(F.regexp_extract(F.right(pair["gap"], F.lit(48)), LABEL + "$", 1)).alias("label"))
         return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("value")), lambda x: x["value"].isNotNull())
@@ -123,7 +123,7 @@ def find_pii(df: DataFrame, row_id: str = "doc_id", text: str = "text", rounds:
     based = with_base(df, text)
     t = F.coalesce(F.col(text), F.lit(""))
     # most texts hold no label, so few reach the exploded rows
-    labelled = with_base(df.where(t.rlike("[0-9@]") & t.rlike(LABEL[:-1].replace("$", "") + r"[A-Za-z0-9+(]")), text)
+    labelled = with_base(df.where(t.rlike("[0-9@]") & t.rlike(LABEL + r"[A-Za-z0-9._%+@(\-]")), text)
     other = F.filter(matches(t, VALUE, "context", F.lit(True)), lambda s: (s["label"] != "") & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     seen = stage(labelled.select("__id", "__row", F.explode(F.concat(F.filter("__base", lambda b: b["label"] != ""), other)).alias("s")).select("__id", "__row", "s.*"), "pii-seen")
     chosen = learn_contexts(seen.select("label", "value", (F.col("kind") != "context").cast("double").alias("seed")), rounds, support, confidence)
