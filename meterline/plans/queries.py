@@ -284,7 +284,7 @@ def rate_table(spark, d):
     return decisions.rate_table(level_rows(spark, d), out(spark, d, "group_metrics"), POLICY)
 
 
-@query("level_rates", "select * from (values ('P1', '3,60 zł/h przez pierwsze 60 min', 3.6, 4.8, 4.8, 13.2), ('P2', '6,00 zł/h przez pierwsze 60 min', 6.0, 7.2, 8.4, 21.6), ('P3', '3,00 zł za pierwsze 45 min (opłata stała)', 5.25, 9.0, 12.0, 26.25), ('P4', '1,80 zł za pierwsze 30 min (opłata stała)', 7.8, 12.0, 18.0, 37.8)) t(level, opening, hour_1, hour_2, hour_3, cost_3h)")
+@query("level_rates", "select level, opening, cast(hour_1 as double) as hour_1, cast(hour_2 as double) as hour_2, cast(hour_3 as double) as hour_3, cast(cost_3h as double) as cost_3h from (values ('P1', '3,60 zł/h przez pierwsze 60 min', 3.6, 4.8, 4.8, 13.2), ('P2', '6,00 zł/h przez pierwsze 60 min', 6.0, 7.2, 8.4, 21.6), ('P3', '3,00 zł za pierwsze 45 min (opłata stała)', 5.25, 9.0, 12.0, 26.25), ('P4', '1,80 zł za pierwsze 30 min (opłata stała)', 7.8, 12.0, 18.0, 37.8)) t(level, opening, hour_1, hour_2, hour_3, cost_3h)")
 def level_rates(spark, d):
     return decisions.level_rates(spark, POLICY)
 
@@ -407,7 +407,7 @@ _KNOTS = [0.0, *ZONES.cuts, 2 * ZONES.cuts[-1]]
 _SCALE = "case " + " ".join(f"when p <= {_KNOTS[i]} then {i - 1} + (p - {_KNOTS[i - 1]}) / {_KNOTS[i] - _KNOTS[i - 1]}" for i in range(1, 5)) + " else 4.0 end"
 
 
-@query("playback", f"select zone, minute, round({_SCALE}, 6) as scale from (select zone, minute, greatest(0.0, {_curve('h')}) as p from (select zone, minute, minute / 60 as h, y0, y1, y2, y3 from (select zone, " + ", ".join(f"coalesce(max(case when block = '{b.name}' then pressure end), 0.0) as y{i}" for i, b in enumerate(S.blocks)) + " from lv where period = 'S2' group by zone), (select unnest(range(420, 1141, 30)) as minute)))", "lv")
+@query("playback", f"select zone, cast(minute as int) as minute, round({_SCALE}, 6) as scale from (select zone, minute, greatest(0.0, {_curve('h')}) as p from (select zone, minute, minute / 60 as h, y0, y1, y2, y3 from (select zone, " + ", ".join(f"coalesce(max(case when block = '{b.name}' then pressure end), 0.0) as y{i}" for i, b in enumerate(S.blocks)) + " from lv where period = 'S2' group by zone), (select unnest(range(420, 1141, 30)) as minute)))", "lv")
 def playback(spark, d):
     return layers.playback(levels.day_profile(level_rows(spark, d), "S2", ZONES), ZONES).select("zone", "minute", F.round("scale", 6).alias("scale"))
 
@@ -523,7 +523,7 @@ def nearest_line(spark, d):
     return nearest.nearest_line(v, lines, 6.0, far).select("id", "name", F.round("distance", 6).alias("distance"))
 
 
-@query("totals_by_region", "select r_name, grouping(r_name) = 1 as total, count(*) as nations, sum(n_nationkey) as keys from nation join region on n_regionkey = r_regionkey group by rollup (r_name)")
+@query("totals_by_region", "select r_name, grouping(r_name) = 1 as total, count(*) as nations, cast(sum(n_nationkey) as bigint) as keys from nation join region on n_regionkey = r_regionkey group by rollup (r_name)")
 def totals_by_region(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.lit(1).alias("nations"), F.col("n_nationkey").alias("keys"))
     return layers.with_total(n, "r_name", "nations", "keys")
