@@ -55,9 +55,10 @@ def paid(spark, d) -> DataFrame:
 
 
 def facts(spark, d) -> build.Facts:
-    """Visits are kept (on disk where memory is short): several aggregates of one query read them."""
+    """Transactions, payments and visits are kept (on disk where memory is short): several parts of one query read them."""
     f = build.facts(city(spark, d), ref(spark), S)
-    f.visits = f.visits.persist()
+    for kept in (f.tx, f.paid, f.visits):
+        kept.persist()
     return f
 
 
