@@ -327,7 +327,7 @@ _ASKED = "(select event_id as request_id, '90-00' || (user_id % 4) as zone, case
 )
 def driver_cards(spark, d):
     """Zones without a table of levels keep nulls; outside the blocks parking is free."""
-    asked = table(spark, d, "events").where("event_id < 400").select(F.col("event_id").alias("request_id"), F.concat(F.lit("90-00"), (F.col("user_id") % 4).cast("string")).alias("zone"), F.when(F.dayofmonth("ts") <= 15, "S1").otherwise("S2").alias("period"), F.col("ts").cast("timestamp").alias("at"))
+    asked = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("90-00"), (F.col("user_id") % 4).cast("string")).alias("zone"), F.when(F.dayofmonth("ts") <= 15, "S1").otherwise("S2").alias("period"), F.col("ts").cast("timestamp").alias("at"))
     return decisions.driver_cards(asked, levels.valid_until(level_rows(spark, d)), out(spark, d, "group_metrics"), POLICY, S)
 
 
