@@ -13,14 +13,21 @@ def _sums(points: DataFrame) -> dict[str, float]:
     return points.agg(*[F.sum(F.expr(e)).alias(f"s_{k}") for k, e in _SUMS.items()]).first().asDict()
 
 
-def _solve(s: dict[str, float], kind: str) -> np.ndarray:
+def _normal(s: dict[str, float], kind: str) -> np.ndarray:
+    """The products of the unknowns: 3 x 3 of an affine fit, 4 x 4 of a similarity."""
     g = lambda k: float(s[f"s_{k}"])
     if kind == "affine":
-        a = np.array([[g("uu"), g("uv"), g("u")], [g("uv"), g("vv"), g("v")], [g("u"), g("v"), g("n")]])
-        return np.linalg.solve(a, np.array([[g("ux"), g("uy")], [g("vx"), g("vy")], [g("x"), g("y")]]))
+        return np.array([[g("uu"), g("uv"), g("u")], [g("uv"), g("vv"), g("v")], [g("u"), g("v"), g("n")]])
     # similarity: x = a u + b v + c, y = b u - a v + d (rows of an image grow downwards)
     q = g("uu") + g("vv")
-    a = np.array([[q, 0, g("u"), -g("v")], [0, q, g("v"), g("u")], [g("u"), g("v"), g("n"), 0], [-g("v"), g("u"), 0, g("n")]])
+    return np.array([[q, 0, g("u"), -g("v")], [0, q, g("v"), g("u")], [g("u"), g("v"), g("n"), 0], [-g("v"), g("u"), 0, g("n")]])
+
+
+def _solve(s: dict[str, float], kind: str) -> np.ndarray:
+    g = lambda k: float(s[f"s_{k}"])
+    a = _normal(s, kind)
+    if kind == "affine":
+        return np.linalg.solve(a, np.array([[g("ux"), g("uy")], [g("vx"), g("vy")], [g("x"), g("y")]]))
     p, b, c, d = np.linalg.solve(a, np.array([g("ux") - g("vy"), g("vx") + g("uy"), g("x"), g("y")]))
     return np.array([[p, b], [b, -p], [c, d]])
 
@@ -36,17 +43,17 @@ def fit(points: DataFrame, kind: str = "affine") -> np.ndarray:
 def residuals(points: DataFrame, kind: str = "affine") -> DataFrame:
     """points (point_id, px, py, x, y) with `residual` and `left_out`, the error at the point when it isn't fitted.
 
-    Leaving a point out takes its products from the sums, so all fits come from one aggregation.
+    Only the sums reach the driver. Leaving a point out divides its error by 1 - h, h being its leverage z A^-1 z' with
+    z = [px, py, 1] (of a similarity, both of a point's equations have that same leverage). A point that the fit needs
+    (h = 1) has no left_out; a point with a null coordinate isn't fitted and has neither.
     """
-    s, rows = _sums(points), points.collect()
-    m = _solve(s, kind)
-    out = []
-    for r in rows:
-        own = {f"s_{k}": float(eval(e, {"px": r.px, "py": r.py, "x": r.x, "y": r.y})) for k, e in _SUMS.items()}
-        rest = _solve({k: s[k] - own[k] for k in s}, kind)
-        error = lambda t: float(np.hypot(*(np.array([r.px, r.py, 1.0]) @ t - np.array([r.x, r.y]))))  # noqa: B023, E731
-        out.append((r.point_id, error(m), error(rest)))
-    return points.sparkSession.createDataFrame(out, "point_id long, residual double, left_out double")
+    s = _sums(points.where("px is not null and py is not null and x is not null and y is not null"))
+    m, inverse = _solve(s, kind), np.linalg.inv(_normal(s, kind))
+    z = [F.col("px"), F.col("py"), F.lit(1.0)]
+    off = [sum((z[i] * float(m[i, k]) for i in range(3)), F.lit(0.0)) - F.col(c) for k, c in enumerate("xy")]
+    h = sum((z[i] * z[j] * float(inverse[i, j]) for i in range(3) for j in range(3)), F.lit(0.0))
+    out = points.select(F.col("point_id").cast("long").alias("point_id"), F.hypot(*off).alias("residual"), (1 - h).alias("free"))
+    return out.select("point_id", "residual", F.when(F.col("free") > 1e-9, F.col("residual") / F.col("free")).alias("left_out"))
 
 
 def error_summary(errors: DataFrame) -> DataFrame:

@@ -504,7 +504,7 @@ def grid_positions(spark, d):
 
 @query("georeference")
 def georeference(spark, d):
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 3.0).alias("px"), (F.col("s_suppkey") % 7 * 5.0).alias("py"), (F.col("s_suppkey") * 6.0 + F.col("s_acctbal") / 1e4).alias("x"), (F.col("s_suppkey") % 7 * -9.0).alias("y")).where("point_id <= 60")
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 3.0).alias("px"), (F.col("s_suppkey") % 7 * 5.0).alias("py"), (F.col("s_suppkey") * 6.0 + F.col("s_acctbal") / 1e4).alias("x"), (F.col("s_suppkey") % 7 * -9.0).alias("y"))
     return georef.residuals(p)
 
 

@@ -1,8 +1,11 @@
 """Registered queries answer for every row of their tables, not for a subset."""
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__
+from meterline.operators import georef
 from test_entry import DATA, TABLES, comparable
 
 
@@ -18,3 +21,45 @@ def test_every_request_has_its_card(spark):
     got = df.select(*names).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/events.parquet").count() == 1000
     assert comparable(got) == comparable([[r[i] for i in at] for r in sql.fetchall()])
+
+
+def left_out(rows, kind):
+    """(residual, left_out) of each row (px, py, x, y), by a fit of its own for each point."""
+    u, v, x, y = np.array(rows).T
+    one, none = np.ones(len(rows)), np.zeros(len(rows))
+    if kind == "affine":
+        a = np.stack([np.stack([u, v, one, none, none, none], 1), np.stack([none, none, none, u, v, one], 1)], 1)
+    else:
+        a = np.stack([np.stack([u, v, one, none], 1), np.stack([-v, u, none, one], 1)], 1)
+    w, out = np.stack([x, y], 1), []
+    for i in range(len(rows)):
+        errors = []
+        for keep in (np.ones(len(rows), bool), np.arange(len(rows)) != i):
+            p = np.linalg.lstsq(a[keep].reshape(-1, a.shape[2]), w[keep].ravel(), rcond=None)[0]
+            errors.append(float(np.hypot(*(a[i] @ p - w[i]))))
+        out.append(tuple(errors))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["affine", "similarity"])
+def test_points_left_out(spark, kind):
+    r = np.random.default_rng(7)
+    rows = [(*map(float, r.uniform(0, 500, 2)), *map(float, r.uniform(0, 90, 2))) for _ in range(12)]
+    points = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)] + [(99, None, 1.0, 2.0, 3.0)], "point_id long, px double, py double, x double, y double")
+    got = {x.point_id: (x.residual, x.left_out) for x in georef.residuals(points, kind).collect()}
+    assert got.pop(99) == (None, None)
+    assert [got[i] for i in range(12)] == [pytest.approx(x, rel=1e-6) for x in left_out(rows, kind)]
+
+
+def test_a_point_that_the_fit_needs(spark):
+    points = spark.createDataFrame([(0, 0.0, 0.0, 1.0, 2.0), (1, 9.0, 0.0, 3.0, 4.0), (2, 0.0, 9.0, 7.0, 5.0)], "point_id long, px double, py double, x double, y double")
+    assert all(r.residual == pytest.approx(0, abs=1e-9) and r.left_out is None for r in georef.residuals(points).collect())
+
+
+def test_every_supplier_is_a_point(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.point_id: (r.residual, r.left_out) for r in __spark_entry__.queries()["georeference"](spark, d).collect()}
+    s = [(r.s_suppkey, r.s_acctbal) for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
+    want = left_out([(k * 3.0, k % 7 * 5.0, k * 6.0 + a / 1e4, k % 7 * -9.0) for k, a in s], "affine")
+    assert len(got) == len(s) > 60
+    assert [got[k] for k, _ in s] == [pytest.approx(x, rel=1e-5) for x in want]
