@@ -208,9 +208,9 @@ def _pcm_file(pcm: np.ndarray, rate: int) -> bytes:
 
 
 def op9_telephony_audio(spark, sf_dir: str) -> DataFrame:
-    """Every whole text of `documents` stored as coded telephony audio, read back, decoded and measured."""
+    """Every whole text of `documents` stored as coded telephony audio, read back, decoded, its resampled PCM stored, and measured."""
     stored = stage(encode_media(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "media")
-    out = decode_media(stored, keep_pcm=False)
+    out = stage(decode_media(stored), "pcm")
     return out.select(
         "doc_id",
         "n_bytes",

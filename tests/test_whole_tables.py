@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from meterline.llm import media
 from meterline.operators import georef
 from test_entry import DATA, TABLES, comparable
 
@@ -63,3 +64,15 @@ def test_every_supplier_is_a_point(spark):
     want = left_out([(k * 3.0, k % 7 * 5.0, k * 6.0 + a / 1e4, k % 7 * -9.0) for k, a in s], "affine")
     assert len(got) == len(s) > 60
     assert [got[k] for k, _ in s] == [pytest.approx(x, rel=1e-5) for x in want]
+
+
+def test_resampled_pcm_is_stored(spark, monkeypatch):
+    """Every document's PCM is in the shared folder, a WAVE file whose header has its length."""
+    tables, real = [], media.stage
+    monkeypatch.setattr(media, "stage", lambda *a, **b: tables.append(real(*a, **b)) or tables[-1])
+    out = media.op9_telephony_audio(spark, DATA)
+    stored = [t for t in tables if "pcm" in t.columns]
+    assert stored and stored[-1].inputFiles()
+    rows = stored[-1].selectExpr("doc_id", "substring(pcm, 1, 4) = cast('RIFF' as binary) as wave", "octet_length(pcm) as n", "octet_length(payload) as coded").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in out.select("doc_id").collect())
+    assert all(r.wave and r.n >= 44 + 3.9 * r.coded for r in rows)
