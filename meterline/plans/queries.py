@@ -441,7 +441,7 @@ _HAND = "select i as dot, 1000 + i as number from range(0, 21) r(i)"
 
 @query("settled_readings", f"with r as (select distinct * from ({_READ})), a as (select dot, number, count(*) over (partition by dot) as d, count(*) over (partition by number) as n from r) select dot, number, 'ocr' as origin from a where d = 1 and n = 1 union all select dot, number, 'manual' from ({_HAND})")
 def settled_readings(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 700 > 20")
+    p = table(spark, d, "part")
     ocr = p.select((F.col("p_partkey") % 700).cast("long").alias("dot"), (F.col("p_size") * 3 + F.col("p_partkey") % 5).cast("long").alias("number"), F.lit("ocr").alias("origin"))
     return layers.settled_readings(ocr.unionByName(spark.range(21).select(F.col("id").alias("dot"), (F.col("id") + 1000).alias("number"), F.lit("manual").alias("origin"))))
 

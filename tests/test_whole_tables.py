@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 from meterline.llm import media
-from meterline.operators import georef
+from meterline.operators import georef, layers
 from test_entry import DATA, TABLES, comparable
 
 
@@ -76,3 +76,14 @@ def test_resampled_pcm_is_stored(spark, monkeypatch):
     rows = stored[-1].selectExpr("doc_id", "substring(pcm, 1, 4) = cast('RIFF' as binary) as wave", "octet_length(pcm) as n", "octet_length(payload) as coded").collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in out.select("doc_id").collect())
     assert all(r.wave and r.n >= 44 + 3.9 * r.coded for r in rows)
+
+
+def test_every_reading_is_settled(spark, monkeypatch):
+    """OCR readings of dots that were read by hand reach the operator, which sorts them out."""
+    given, real = [], layers.settled_readings
+    monkeypatch.setattr(layers, "settled_readings", lambda r: given.append(r) or real(r))
+    out = __spark_entry__.queries()["settled_readings"](spark, DATA)
+    assert given[0].where("origin = 'ocr'").count() == spark.read.parquet(f"{DATA}/part.parquet").count()
+    by_hand = {r.dot: r.number for r in given[0].where("origin = 'manual'").collect()}
+    assert given[0].where("origin = 'ocr' and dot <= 20").count() > 0
+    assert {r.dot: (r.number, r.origin) for r in out.where("dot <= 20").collect()} == {k: (n, "manual") for k, n in by_hand.items()}
