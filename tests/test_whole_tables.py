@@ -1,12 +1,14 @@
 """Registered queries answer for every row of their tables, not for a subset."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__
 from meterline.llm import media
-from meterline.operators import georef, layers
+from meterline.operators import georef, layers, nearest
 from test_entry import DATA, TABLES, comparable
 
 
@@ -87,3 +89,11 @@ def test_every_reading_is_settled(spark, monkeypatch):
     by_hand = {r.dot: r.number for r in given[0].where("origin = 'manual'").collect()}
     assert given[0].where("origin = 'ocr' and dot <= 20").count() > 0
     assert {r.dot: (r.number, r.origin) for r in out.where("dot <= 20").collect()} == {k: (n, "manual") for k, n in by_hand.items()}
+
+
+def test_nearest_place_however_far(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 7e5, 0.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 3e6, 4e6)], "id long, x double, y double")
+    b = spark.createDataFrame([(7, 3.0, 0.0), (8, 0.0, -9.0), (9, None, 0.0)], "rid long, rx double, ry double")
+    got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b, 4.0).collect()}
+    assert got == {1: (7, 3.0), 2: (7, 699997.0), 3: (None, None), 4: (None, None), 5: (7, pytest.approx(math.hypot(3e6 - 3, 4e6)))}
+    assert [r.rid for r in nearest.nearest(a, b.limit(0), 4.0, rounds=1).collect()] == [None] * 5
