@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, documents, small_batches
-from .words import encoder, plain, split
+from .words import chunks, encoder, plain, split
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,10 +19,11 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000, seed_docs: int = 2_000) -> dict[str, int]:
-    """Token counts of frequent pre-tokens: at most `entries` of them, taken from at most `seed_docs` texts by one task.
+def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens of all texts, at most `entries` of them.
 
-    The table only saves work; a pre-token that it lacks is encoded where it is met. So it may come from a bounded sample.
+    Each partition counts with a bounded counter and hands on its `entries` most frequent, whose counts Spark adds up. The
+    table only saves work; a pre-token that it lacks is encoded where it is met. So counts that a full counter drops do no harm.
     """
     small_batches(df.sparkSession)
 
@@ -30,17 +31,23 @@ def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000,
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                if plain(t):
-                    seen.update(split(t))
-                if len(seen) > 20 * entries:
-                    seen = Counter(dict(seen.most_common(10 * entries)))
-        words = [w for w, _ in seen.most_common(entries)]
+                for part in chunks(t) if plain(t) else ():
+                    seen.update(split(part))
+                    if len(seen) > 20 * entries:
+                        seen = Counter(dict(seen.most_common(10 * entries)))
+        words, n = zip(*seen.most_common(entries)) if seen else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
-        enc.learn(set(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([enc.cache[w] for w in words], pa.int32())], names=["word", "n"])
+        for b in batches:
+            words = b.column(0).to_pylist()
+            enc.learn(set(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.cache[w] for w in words], pa.int32())], names=["word", "n"])
 
-    seeds = df.select(F.col(text)).where(F.col(text).isNotNull()).limit(seed_docs).coalesce(1)
-    return {r.word: r.n for r in seeds.mapInArrow(count, "word string, n int").collect()}
+    parts = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n bigint")
+    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).select("word")
+    return {r.word: r.n for r in top.mapInArrow(measure, "word string, n int").collect()}
 
 
 def token_counts(df: DataFrame, text: str = "text", path: str | None = None, entries: int = 30_000) -> DataFrame:

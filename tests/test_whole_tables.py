@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from meterline.llm import media
+from meterline.llm import media, tokens
 from meterline.operators import georef, layers, nearest
 from test_entry import DATA, TABLES, comparable
 
@@ -97,3 +97,12 @@ def test_nearest_place_however_far(spark):
     got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b, 4.0).collect()}
     assert got == {1: (7, 3.0), 2: (7, 699997.0), 3: (None, None), 4: (None, None), 5: (7, pytest.approx(math.hypot(3e6 - 3, 4e6)))}
     assert [r.rid for r in nearest.nearest(a, b.limit(0), 4.0, rounds=1).collect()] == [None] * 5
+
+
+def test_frequent_pre_tokens_of_all_texts(spark):
+    """The texts behind the first 2,000 count as well."""
+    texts = [(i, f"alpha{chr(97 + i % 26)}" if i < 2000 else "zebra zebra") for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    table = tokens.frequent_lengths(df, "text", tokens.vocabulary_path(), entries=1)
+    assert set(table) == {"zebra"}
+    assert tokens.frequent_lengths(df.limit(0), "text", tokens.vocabulary_path()) == {}
