@@ -29,16 +29,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, few: bool = False, level: int = 3) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    `few` is for tables much smaller than the input: one file for each core that there is, not one for each partition.
+    `few` is for results whose partitions are as many as their input's but hold little: adaptive execution puts such rows together
+    into files of its advisory size, however many there are. `level` is the compression's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     if few:
-        df = df.coalesce(spark.sparkContext.defaultParallelism)
-    df.write.option("compression", "zstd").parquet(path)
+        df = df.hint("rebalance")
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,10 @@ from .common import append_columns, documents, stage
 ALAW, MULAW, IMA = 6, 7, 0x11
 NAMES = {ALAW: "alaw", MULAW: "mulaw", IMA: "ima"}
 RATE = 8000
+#: Samples that are resampled or measured at once.
+PART = 1 << 18
+#: Compression level of the stored audio: it is written once and read often.
+LEVEL = 6
 #: Data bytes of an ADPCM block, after its header of four bytes.
 UNIT = 192
 
@@ -101,6 +107,7 @@ def decode_ima(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+@lru_cache(64)
 def filters(up: int, down: int, taps: int = 8) -> np.ndarray:
     """Integer polyphase taps (sum 2 ** 14 a phase) of a windowed sinc that resamples by up / down."""
     at = np.arange(taps) - taps // 2 + 1
@@ -112,28 +119,93 @@ def filters(up: int, down: int, taps: int = 8) -> np.ndarray:
     return h
 
 
-def resample(pcm: np.ndarray, up: int, down: int, h: np.ndarray) -> np.ndarray:
+def resample(pcm: np.ndarray, up: int, down: int, h: np.ndarray, part: int = PART) -> np.ndarray:
+    """PCM resampled by up / down, `part` samples at a time, so a long text needs little beyond its samples."""
     if not len(pcm) or up == down:
         return pcm
-    taps = h.shape[1]
-    x = np.pad(pcm.astype(np.int32), (taps // 2 - 1, taps // 2), "edge")
-    out = np.empty((len(pcm), up), np.int16)
-    for p in range(up):
-        acc = np.zeros(len(pcm), np.int32)
-        for k in range(taps):
-            if h[p, k]:
-                acc += (x[k : k + len(pcm)] * h[p, k]) >> 4  # keeps the sum within 32 bits
-        out[:, p] = np.clip((acc + 512) >> 10, -32768, 32767)
-    return out.ravel()[::down]
+    taps, n = h.shape[1], len(pcm)
+    x = np.pad(pcm, (taps // 2 - 1, taps // 2), "edge")
+    out = np.empty(-(-n * up // down), np.int16)
+    for a in range(0, n, part):
+        m = min(part, n - a)
+        wide = x[a : a + m + taps - 1].astype(np.int32)
+        made = np.empty((m, up), np.int16)
+        for p in range(up):
+            acc = np.zeros(m, np.int32)
+            for k in range(taps):
+                if h[p, k]:
+                    acc += (wide[k : k + m] * h[p, k]) >> 4  # keeps the sum within 32 bits
+            made[:, p] = np.clip((acc + 512) >> 10, -32768, 32767)
+        first = -(a * up) % down
+        got = made.ravel()[first::down]
+        at = (a * up + first) // down
+        out[at : at + len(got)] = got
+    return out
+
+
+_PACKED = struct.Struct("<4sIHHQB")  # mark, rate, up, reserved, samples, which planes follow
+
+
+def pack_pcm(pcm: np.ndarray, rate: int, up: int) -> bytes:
+    """PCM in a lossless form that general compression shrinks well; `unpack_pcm` gives the very samples back.
+
+    As lossless audio coders do, it stores a prediction's residue: every `up`-th sample is kept, the samples between are
+    predicted from those by the interpolation filter, and a plane of residues follows only where it isn't zero. Kept samples of at
+    most 256 different values are a sorted palette and one byte each. Any PCM survives, whatever made it.
+    """
+    up = max(1, up)
+    kept = np.ascontiguousarray(pcm[::up])
+    guess = resample(kept, up, 1, filters(up, 1))[: len(pcm)] if up > 1 else pcm
+    rest = (pcm - guess) if up > 1 else np.zeros(0, np.int16)
+    palette, index = _palette(kept)
+    flags = (1 if palette is not None else 0) | (2 if rest.any() else 0)
+    out = [_PACKED.pack(b"pcm1", rate, up, 0, len(pcm), flags)]
+    out += [struct.pack("<H", len(palette) - 1), palette.astype("<i2").tobytes(), index.tobytes()] if palette is not None else [kept.astype("<i2").tobytes()]
+    if rest.any():
+        out.append(rest.astype("<i2").tobytes())
+    return b"".join(out)
+
+
+def _palette(kept: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+    seen = np.zeros(65536, bool)
+    at = kept.view(np.uint16)
+    seen[at] = True
+    if not len(kept) or np.count_nonzero(seen) > 256:
+        return None, None
+    values = np.sort(np.flatnonzero(seen).astype(np.uint16).view(np.int16))
+    place = np.zeros(65536, np.uint8)
+    place[values.view(np.uint16)] = np.arange(len(values))
+    return values, place[at]
+
+
+def unpack_pcm(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples (16 bits) and their rate that `pack_pcm` stored."""
+    mark, rate, up, _, n, flags = _PACKED.unpack_from(data)
+    if mark != b"pcm1":
+        raise ValueError("not packed PCM")
+    at, held = _PACKED.size, -(-n // up)
+    if flags & 1:
+        size = struct.unpack_from("<H", data, at)[0] + 1
+        palette = np.frombuffer(data, "<i2", size, at + 2)
+        at += 2 + 2 * size
+        kept = palette[np.frombuffer(data, np.uint8, held, at)]
+        at += held
+    else:
+        kept = np.frombuffer(data, "<i2", held, at)
+        at += 2 * held
+    pcm = resample(kept, up, 1, filters(up, 1))[:n] if up > 1 else kept
+    return (pcm + np.frombuffer(data, "<i2", n, at) if flags & 2 else pcm), rate
 
 
 def describe(name: str, pcm: np.ndarray) -> str:
     """Codec, samples, root mean square, peak and zero crossings of PCM, and the CRC-32 of its bytes."""
-    wide = pcm.astype(np.int64)
-    rms = int(np.sqrt((wide * wide).mean())) if len(pcm) else 0
-    peak = int(np.abs(wide).max()) if len(pcm) else 0
+    power = peak = 0
+    for a in range(0, len(pcm), PART):
+        wide = pcm[a : a + PART].astype(np.int64)
+        power, peak = power + int((wide * wide).sum()), max(peak, int(np.abs(wide).max()))
+    rms = math.isqrt(power // len(pcm)) if len(pcm) else 0
     turns = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"{name}:{len(pcm)}:{rms}:{peak}:{turns}:{zlib.crc32(pcm.tobytes()):08x}"
+    return f"{name}:{len(pcm)}:{rms}:{peak}:{turns}:{zlib.crc32(np.ascontiguousarray(pcm, '<i2')):08x}"
 
 
 def encode_media(df: DataFrame, text: str = "text") -> DataFrame:
@@ -152,11 +224,21 @@ def encode_media(df: DataFrame, text: str = "text") -> DataFrame:
     return append_columns(df, [text], pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())]), "n_bytes bigint, media binary", make)
 
 
-def decode_media(df: DataFrame, media: str = "media", rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
-    """df with `payload` (the coded bytes, without block headers), `pcm` (16-bit samples at `rate`, a WAVE file) and `feature`.
+def pcm_wave(data: bytes) -> bytes:
+    """Packed PCM as a WAVE file of 16-bit samples."""
+    pcm, rate = unpack_pcm(data)
+    raw = np.ascontiguousarray(pcm, "<i2").tobytes()
+    fmt = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
+    return b"RIFF" + struct.pack("<I", 36 + len(raw)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(raw)) + raw
+
+
+def decode_media(df: DataFrame, media: str = "media", rate: int = 16000) -> DataFrame:
+    """df with `payload` (the coded bytes, without block headers), `codec`, and `pcm`: 16-bit samples at `rate`, as `pack_pcm`
+    stores them.
 
-    A null, or bytes that aren't mu-law, A-law or IMA ADPCM in a WAVE file of one channel, give nulls. `keep_pcm=False` makes
-    and measures the PCM but doesn't return it. Blocks of one batch are decoded together, whichever files they are from.
+    A null, or bytes that aren't mu-law, A-law or IMA ADPCM in a WAVE file of one channel, give nulls; equal bytes give equal
+    values, repeated rows too; an empty table stays empty; columns of these names are replaced. Blocks of one batch are decoded
+    together, whichever files they are from.
     """
 
     def make():
@@ -181,37 +263,40 @@ def decode_media(df: DataFrame, media: str = "media", rate: int = 16000, keep_pc
                 made, at = decode_ima(np.concatenate([b for _, b in members])), 0
                 for i, b in members:
                     plain[i], at = made[at : at + len(b)].ravel(), at + len(b)
-            pcm, feature = [], []
+            pcm = []
             for f, x in zip(files, plain):
                 if f is None:
                     pcm.append(None)
-                    feature.append(None)
                     continue
                 g = np.gcd(rate, f[1])
                 up, down = int(rate // g), int(f[1] // g)
                 if f[1] not in h:
                     h[f[1]] = filters(up, down)
-                y = resample(x, up, down, h[f[1]])
-                pcm.append(_pcm_file(y, rate) if keep_pcm else None)
-                feature.append(describe(NAMES[f[0]], y))
-            return [pa.array(payload, pa.binary()), pa.array(pcm, pa.binary()), pa.array(feature, pa.string())]
+                pcm.append(pack_pcm(resample(x, up, down, h[f[1]]), rate, up if down == 1 else 1))
+            return [pa.array(payload, pa.binary()), pa.array([None if f is None else NAMES[f[0]] for f in files], pa.string()), pa.array(pcm, pa.binary())]
 
         return run
 
-    return append_columns(df, [media], pa.schema([("payload", pa.binary()), ("pcm", pa.binary()), ("feature", pa.string())]), "payload binary, pcm binary, feature string", make)
+    return append_columns(df, [media], pa.schema([("payload", pa.binary()), ("codec", pa.string()), ("pcm", pa.binary())]), "payload binary, codec string, pcm binary", make)
 
 
-def _pcm_file(pcm: np.ndarray, rate: int) -> bytes:
-    data = pcm.astype("<i2").tobytes()
-    fmt = struct.pack("<HHIIHH", 1, 1, rate, 2 * rate, 2, 16)
-    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
+def describe_pcm(df: DataFrame, pcm: str = "pcm", codec: str = "codec") -> DataFrame:
+    """df with `feature`, measured on the stored samples; null where there are none. A column named feature is replaced."""
+
+    def make():
+        def run(columns):
+            return [pa.array([None if p is None else describe(c, unpack_pcm(p)[0]) for p, c in zip(columns[0].to_pylist(), columns[1].to_pylist())], pa.string())]
+
+        return run
+
+    return append_columns(df, [pcm, codec], pa.schema([("feature", pa.string())]), "feature string", make)
 
 
 def op9_telephony_audio(spark, sf_dir: str) -> DataFrame:
-    """Every whole text of `documents` stored as coded telephony audio, read back, decoded, its resampled PCM stored, and measured."""
-    stored = stage(encode_media(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "media")
-    out = stage(decode_media(stored), "pcm")
-    return out.select(
+    """Every whole text of `documents` stored as coded telephony audio, read back, decoded and resampled; the PCM is stored too,
+    read back and measured."""
+    stored = stage(encode_media(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "media"), "media", level=LEVEL)
+    decoded = decode_media(stored).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -219,5 +304,7 @@ def op9_telephony_audio(spark, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        "codec",
+        "pcm",
     )
+    return describe_pcm(stage(decoded, "pcm", level=LEVEL)).drop("codec", "pcm")

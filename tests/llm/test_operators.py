@@ -322,15 +322,53 @@ def test_decontamination_of_odd_tables(spark, odd):
 
 # ---- 9 ----
 
+def adpcm(b):
+    """A block of IMA ADPCM, code by code."""
+    value, index = int(np.array(b[:2], np.uint8).view("<i2")[0]), b[2]
+    want = [value]
+    for byte in b[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - move if code & 8 else value + move))
+            index = max(0, min(88, index + int(media.INDEX_SHIFT[code & 7])))
+            want.append(value)
+    return want
+
+
+def slow_double(plain):
+    """Twice the rate, sample by sample."""
+    h, out = media.filters(2, 1).tolist(), []
+    x = [int(plain[0])] * 3 + plain.tolist() + [int(plain[-1])] * 4
+    for i in range(len(plain)):
+        for p in range(2):
+            acc = sum((x[i + k] * h[p][k]) >> 4 for k in range(8))
+            out.append(max(-32768, min(32767, (acc + 512) >> 10)))
+    return np.array(out, np.int16)
+
+
 def test_media_round_trip(spark, odd):
-    out = {r.doc_id: r for r in media.decode_media(media.encode_media(odd.withColumn("media", F.lit("clash")))).collect()}
+    made = media.describe_pcm(media.decode_media(media.encode_media(odd.withColumns({"media": F.lit("clash"), "feature": F.lit(1)}))))
+    out = {r.doc_id: r for r in made.collect()}
     for r in odd.collect():
         raw = (r.text or "").encode()
         padded = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert bytes(out[r.doc_id].payload) == padded and out[r.doc_id].n_bytes == len(raw)
-    assert out[5].feature == out[6].feature and bytes(out[0].pcm[:4]) == b"RIFF"
+        tag = (media.MULAW, media.ALAW, media.IMA)[len(padded) // 192 % 3]
+        if tag == media.IMA:
+            blocks = np.frombuffer(padded, np.uint8).reshape(-1, 192)
+            plain = np.concatenate([adpcm([0, 0, 0, 0, *b]) for b in blocks.tolist()]).astype(np.int16)
+        else:
+            plain = (media.mulaw_table() if tag == media.MULAW else media.alaw_table())[np.frombuffer(padded, np.uint8)]
+        want = slow_double(plain) if len(padded) < 2000 else media.resample(plain, 2, 1, media.filters(2, 1))
+        got, rate = media.unpack_pcm(bytes(out[r.doc_id].pcm))
+        assert rate == 16000 and got.tolist() == want.tolist()
+        wide = want.astype(float)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(want[1:].tolist(), want[:-1].tolist()))
+        assert out[r.doc_id].feature == f"{media.NAMES[tag]}:{len(want)}:{int(np.sqrt((wide * wide).mean()))}:{int(np.abs(wide).max())}:{turns}:{zlib.crc32(want.astype('<i2').tobytes()):08x}"
+    assert out[5].feature == out[6].feature and media.pcm_wave(bytes(out[0].pcm))[:4] == b"RIFF"
     bad = spark.createDataFrame([(None,), (b"nothing",)], "media binary")
-    assert [r.payload for r in media.decode_media(bad).collect()] == [None, None]
+    assert [(r.payload, r.pcm, r.feature) for r in media.describe_pcm(media.decode_media(bad)).collect()] == [(None, None, None)] * 2
     assert media.encode_media(odd.limit(0)).count() == 0
 
 
@@ -343,16 +381,19 @@ def test_codec_tables_and_adpcm():
     blocks[:, 2] %= 89
     got = media.decode_ima(blocks)
     for b, row in zip(blocks.tolist(), got.tolist()):
-        value, index = int(np.array(b[:2], np.uint8).view("<i2")[0]), b[2]
-        want = [value]
-        for byte in b[4:]:
-            for code in (byte & 15, byte >> 4):
-                step = int(media.STEPS[index])
-                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-                value = max(-32768, min(32767, value - move if code & 8 else value + move))
-                index = max(0, min(88, index + int(media.INDEX_SHIFT[code & 7])))
-                want.append(value)
-        assert row == want
+        assert row == adpcm(b)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 3000])
+def test_packed_pcm_gives_its_samples_back(n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(-32768, 32768, n).astype(np.int16)
+    for up, down in ((2, 1), (3, 2), (1, 2), (1, 1)):
+        y = media.resample(x, up, down, media.filters(up, down))
+        assert y.tolist() == media.resample(x, up, down, media.filters(up, down), part=7).tolist()
+        for plane in (1, 2, 3):
+            for pcm in (y, x, (x // 1000 * 1000).astype(np.int16)):
+                assert media.unpack_pcm(media.pack_pcm(pcm, 16000, plane))[0].tolist() == pcm.tolist()
 
 
 def test_resampling_keeps_a_tone():
@@ -394,3 +435,28 @@ def test_digest_columns(spark):
     assert r.payload_bytes % 192 == 0 and 0 <= r.tail_crc32 < 2**32
     p = sharding.op10_histogram_sort(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"), "doc_id").first()
     assert p.text_crc32 == zlib.crc32(p.text.encode())
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_resampled_pcm_is_stored(spark, monkeypatch):
+    """Every document's PCM is in the shared folder, two samples for each coded one, and the features come from there."""
+    tables, real = [], media.stage
+    monkeypatch.setattr(media, "stage", lambda *a, **b: tables.append(real(*a, **b)) or tables[-1])
+    out = {r.doc_id: r for r in media.op9_telephony_audio(spark, DATA).collect()}
+    rows = tables[-1].select("doc_id", "pcm").collect()
+    assert tables[-1].inputFiles() and sorted(r.doc_id for r in rows) == sorted(out)
+    for r in rows:
+        codec, n = out[r.doc_id].feature.split(":")[:2]
+        pcm, rate = media.unpack_pcm(bytes(r.pcm))
+        assert rate == 16000 and len(pcm) == int(n) == out[r.doc_id].payload_bytes // 192 * (2 * 385 if codec == "ima" else 2 * 192)
+
+
+def test_frequent_pre_tokens_of_all_texts(spark):
+    """The texts behind the first 2,000 count as well."""
+    texts = [(i, f"alpha{chr(97 + i % 26)}" if i < 2000 else "zebra zebra") for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    table = tokens.frequent_lengths(df, "text", tokens.vocabulary_path(), entries=1)
+    assert set(table) == {"zebra"}
+    assert tokens.frequent_lengths(df.limit(0), "text", tokens.vocabulary_path()) == {}
