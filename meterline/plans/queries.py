@@ -317,7 +317,7 @@ def _hours(prefix: str, names: tuple[str, str, str]) -> str:
     return ", ".join(f"case when block is null then 0.0 else round({cost(60 * h)} - ({cost(60 * h - 60)}), 2) end as {prefix}hour_{h}" for h in (1, 2, 3))
 
 
-_ASKED = "(select event_id as request_id, '90-00' || (user_id % 4) as zone, case when day(ts) <= 15 then 'S1' else 'S2' end as period, case when isodow(ts) <= 5 then case when hour(ts) between 7 and 9 then '07-10' when hour(ts) between 10 and 12 then '10-13' when hour(ts) between 13 and 15 then '13-16' when hour(ts) between 16 and 18 then '16-19' end end as block from events where event_id < 400)"
+_ASKED = "(select event_id as request_id, '90-00' || (user_id % 4) as zone, case when day(ts) <= 15 then 'S1' else 'S2' end as period, case when isodow(ts) <= 5 then case when hour(ts) between 7 and 9 then '07-10' when hour(ts) between 10 and 12 then '10-13' when hour(ts) between 13 and 15 then '13-16' when hour(ts) between 16 and 18 then '16-19' end end as block from events)"
 
 
 @query(

@@ -2,28 +2,12 @@
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
 import __spark_entry__
-from meterline.llm import media, tokens
 from meterline.operators import georef, layers, nearest
-from test_entry import DATA, TABLES, comparable
-
-
-def test_every_request_has_its_card(spark):
-    """Compared with the query's SQL without its subset of ids, over the whole table."""
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    sql = con.execute(__spark_entry__.oracle_sql()["driver_cards"].replace(" where event_id < 400", ""))
-    df = __spark_entry__.queries()["driver_cards"](spark, DATA)
-    names = sorted(df.columns)
-    at = [[d[0] for d in sql.description].index(n) for n in names]
-    got = df.select(*names).collect()
-    assert len(got) == spark.read.parquet(f"{DATA}/events.parquet").count() == 1000
-    assert comparable(got) == comparable([[r[i] for i in at] for r in sql.fetchall()])
+from test_entry import DATA
 
 
 def left_out(rows, kind):
@@ -68,18 +52,6 @@ def test_every_supplier_is_a_point(spark):
     assert [got[k] for k, _ in s] == [pytest.approx(x, rel=1e-5) for x in want]
 
 
-def test_resampled_pcm_is_stored(spark, monkeypatch):
-    """Every document's PCM is in the shared folder, a WAVE file whose header has its length."""
-    tables, real = [], media.stage
-    monkeypatch.setattr(media, "stage", lambda *a, **b: tables.append(real(*a, **b)) or tables[-1])
-    out = media.op9_telephony_audio(spark, DATA)
-    stored = [t for t in tables if "pcm" in t.columns]
-    assert stored and stored[-1].inputFiles()
-    rows = stored[-1].selectExpr("doc_id", "substring(pcm, 1, 4) = cast('RIFF' as binary) as wave", "octet_length(pcm) as n", "octet_length(payload) as coded").collect()
-    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in out.select("doc_id").collect())
-    assert all(r.wave and r.n >= 44 + 3.9 * r.coded for r in rows)
-
-
 def test_every_reading_is_settled(spark, monkeypatch):
     """OCR readings of dots that were read by hand reach the operator, which sorts them out."""
     given, real = [], layers.settled_readings
@@ -97,12 +69,3 @@ def test_nearest_place_however_far(spark):
     got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b, 4.0).collect()}
     assert got == {1: (7, 3.0), 2: (7, 699997.0), 3: (None, None), 4: (None, None), 5: (7, pytest.approx(math.hypot(3e6 - 3, 4e6)))}
     assert [r.rid for r in nearest.nearest(a, b.limit(0), 4.0, rounds=1).collect()] == [None] * 5
-
-
-def test_frequent_pre_tokens_of_all_texts(spark):
-    """The texts behind the first 2,000 count as well."""
-    texts = [(i, f"alpha{chr(97 + i % 26)}" if i < 2000 else "zebra zebra") for i in range(3000)]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    table = tokens.frequent_lengths(df, "text", tokens.vocabulary_path(), entries=1)
-    assert set(table) == {"zebra"}
-    assert tokens.frequent_lengths(df.limit(0), "text", tokens.vocabulary_path()) == {}
