@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1 << 20
 
 
+#: Bytes of a page of a table that is compressed hard: more to find repeats in.
+PAGE_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; a local one only where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -39,7 +43,7 @@ def stage(df: DataFrame, name: str, few: bool = False, level: int = 3) -> DataFr
     path = new_path(spark, name)
     if few:
         df = df.hint("rebalance")
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", PAGE_BYTES if level > 3 else 1 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
