@@ -74,12 +74,13 @@ def splitters(keys: DataFrame, parts: int, tolerance: int, probes: int) -> tuple
     return np.array([b for b, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24, tolerance: float = 0.0005, probes: int = 15, range_bytes: int = 128 << 20) -> DataFrame:
+def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24, tolerance: float = 0.0005, probes: int = 15, range_bytes: int = 16 << 20, most_ranges: int = 1 << 17) -> DataFrame:
     """df with `size` (bytes of the row), `shard` (0 .. shards - 1) and `slot` (gapless from 0 within a shard).
 
     Law: shards are consecutive key ranges whose byte sums lie within `tolerance` of a shard of each other's target, unless one
-    row or one tied key is heavier than that. The rows cross the network once. A shard heavier than `range_bytes` is dealt to
-    several tasks as finer key ranges, whose row counts the histogram already knows, so slots need no task that sees a shard.
+    row or one tied key is heavier than that. The rows cross the network once. A shard is dealt to tasks as finer key ranges of
+    about `range_bytes` (larger ones where there would be more than `most_ranges`, which bounds what the driver holds); the
+    histogram already knows their row counts, so slots need no task that sees a whole shard. Each range has a partition of its own.
 
     Null keys order first and null sizes count 0; rows equal in every column get neighbouring slots; an empty table stays
     empty; columns named size, shard or slot are replaced, others pass through.
@@ -89,7 +90,7 @@ def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24,
     df = without(df.withColumns({"__key": F.coalesce(key, F.lit(LOW)), "__size": F.coalesce(size, F.lit(0)).cast("long")}), "size", "shard", "slot")
     keys = stage(df.select(F.col("__key").alias("k"), F.col("__size").alias("w")), "shard-keys")
     total = keys.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first().w
-    each = max(1, -(-total // (shards * range_bytes)))
+    each = max(1, min(-(-total // (shards * range_bytes)), most_ranges // shards))
     bounds, below = splitters(keys, shards * each, int(tolerance * total / shards), max(3, min(probes, (1 << 17) // (shards * each))))
     starts = np.concatenate([[0], below])
     offset = (starts - np.repeat(starts[::each], each)).tolist()
@@ -102,6 +103,7 @@ def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24,
     rank = F.row_number().over(Window.partitionBy("__cell").orderBy("__key", *ties))
     return (
         df.withColumn("__cell", cell("__key"))
+        .repartitionById(shards * each, F.col("__cell"))
         .withColumn("__rank", rank)
         .withColumns({"size": F.col("__size"), "shard": F.floor(F.col("__cell") / each).cast("int"), "slot": F.element_at(F.lit(offset).cast("array<bigint>"), F.col("__cell") + 1) + F.col("__rank") - 1})
         .drop("__key", "__size", "__cell", "__rank")
@@ -109,7 +111,10 @@ def histogram_shards(df: DataFrame, key: Column, size: Column, shards: int = 24,
 
 
 def op10_histogram_sort(spark, sf_dir: str) -> DataFrame:
-    """`documents` in 24 shards by the law `bytes`; equal texts are neighbours in key order. Null text: no bytes."""
+    """`documents` in 24 shards by the law `bytes`; equal texts are neighbours in key order. Null text: no bytes.
+
+    Texts go through the exchange, as they must where shards are written, though the digest needs their checksum alone.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = histogram_shards(docs, content_key(), F.coalesce(F.octet_length("text"), F.lit(0)) + 8)
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
