@@ -12,6 +12,7 @@ from meterline.llm import decontam, media, neardup, packing, pii, sharding, suff
 from meterline.llm.bytewords import NOT_BLANK, Words
 from meterline.llm.words import Encoder
 
+DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 97} tail{i % 13}" for i in range(40_000))
 
 
@@ -296,8 +297,8 @@ def hits(text, items):
     return len(w), sum(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination(spark, most):
     rng = np.random.default_rng(9)
     words = [f"v{i}" for i in range(30)]
     items = [(100 + i, " ".join(rng.choice(words, n))) for i, n in enumerate([1, 2, 3, 5, 8, 12, 13, 14, 20, 30, 40, 13])] + [(200, None), (201, "  "), (202, "for " * 15), (7, "Ünï CODE, é-x")]
@@ -307,17 +308,27 @@ def test_decontamination(spark, block):
         x = items[k][1].split()
         texts += [" ".join([*rng.choice(words, 30), *x[:13], *rng.choice(words, 5)]), " ".join(["q", *x[1:14]]), " ".join(x[:12]), " - ".join(x).upper()]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    df = docs(spark, texts).withColumn("hits", F.lit("clash"))
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.digest(decontam.contamination(df, bench, block_bytes=block)).collect()}
+    df = docs(spark, texts).withColumns({"hits": F.lit("clash"), "k1": F.lit("clash"), "items": F.lit(None)})
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.digest(decontam.contamination(df, bench, broadcast_bytes=most)).collect()}
     assert [got[i] for i in range(len(texts))] == [hits(t, items) for t in texts]
 
 
-def test_decontamination_of_odd_tables(spark, odd):
-    bench = spark.createDataFrame([(1, " ".join(LONG.split()[500:520]))], "item_id long, text string")
-    got = {r.doc_id: r.n_hit for r in decontam.digest(decontam.contamination(odd, bench)).collect()}
-    assert got[5] == got[6] > 0 and got[0] == got[7] == 0
-    assert decontam.contamination(odd, bench.limit(0)).count() == 9
-    assert decontam.contamination(odd.limit(0), bench).count() == 0
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination_of_odd_tables(spark, odd, most):
+    bench = spark.createDataFrame([(1.5, " ".join(LONG.split()[500:520]))], "item_id double, text string")
+    out = decontam.contamination(odd.unionByName(odd), bench, broadcast_bytes=most)
+    got = {r.doc_id: (r.n_hit, r.n_words) for r in decontam.digest(out).collect()}
+    assert got[5] == got[6] > (0, 0) and got[0] == (0, 0) and got[7] == (0, 1)
+    assert out.count() == 18 and out.where("size(items) > 0").select("items").first().items == [1.5]
+    assert decontam.contamination(odd, bench.limit(0), broadcast_bytes=most - 1).count() == 9
+    assert decontam.contamination(odd.limit(0), bench, broadcast_bytes=most).count() == 0
+
+
+def test_a_benchmark_as_large_as_the_documents(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    bench = d.where("doc_id % 2 = 0").selectExpr("doc_id as item_id", "text").unionByName(spark.read.parquet(f"{DATA}/benchmark.parquet").selectExpr("cast(-1 as bigint) as item_id", "text"))
+    both = [sorted(map(tuple, decontam.digest(decontam.contamination(d, bench, broadcast_bytes=n)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256").collect())) for n in (0, 1 << 30)]
+    assert both[0] == both[1] and sum(r[2] for r in both[0]) > 0
 
 
 # ---- 9 ----
@@ -437,9 +448,6 @@ def test_digest_columns(spark):
     assert p.text_crc32 == zlib.crc32(p.text.encode())
 
 
-DATA = "/root/testdata/sf0.001"
-
-
 def test_resampled_pcm_is_stored(spark, monkeypatch):
     """Every document's PCM is in the shared folder, two samples for each coded one, and the features come from there."""
     tables, real = [], media.stage
