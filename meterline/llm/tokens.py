@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import append_columns, documents, small_batches
-from .words import chunks, encoder, plain, split
+from .words import chunks, encoder, special, split
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,7 +32,7 @@ def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000)
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                for part in chunks(t) if plain(t) else ():
+                for part in () if special(t) else chunks(t):
                     seen.update(split(part))
                     if len(seen) > 20 * entries:
                         seen = Counter(dict(seen.most_common(10 * entries)))
@@ -43,7 +44,7 @@ def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000)
         for b in batches:
             words = b.column(0).to_pylist()
             enc.learn(set(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.cache[w] for w in words], pa.int32())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.get(w) for w in words], pa.int32())], names=["word", "n"])
 
     parts = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n bigint")
     top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).select("word")
@@ -57,10 +58,11 @@ def token_counts(df: DataFrame, text: str = "text", path: str | None = None, ent
     the library's default has it; rows pass through one by one, so repeated rows stay; a column named n_tokens is replaced.
     """
     path = path or vocabulary_path()
+    key = uuid.uuid4().hex
     table = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text, path, entries))
 
     def make():
-        enc = encoder(path, True)
+        enc = encoder(path, True, key)
         if not enc.base:
             enc.start_from(table.value)
 

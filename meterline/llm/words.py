@@ -1,7 +1,9 @@
 """Pre-tokens and their ids for the word-level BPE vocabulary, exactly as its library gives them.
 
-A plain text (characters up to U+024F and common punctuation, no special string) is split by a regular expression and its
-pre-tokens are looked up in a cache; all other texts go through the library whole.
+Pre-tokens never span white space, so a text is made of units that can be looked up one by one: the pre-tokens of its plain
+stretches (characters up to U+024F and common punctuation), found by a regular expression, and, in whatever script, the words
+between blanks that hold other characters, which the library encodes whole. Only texts with a special string go through the
+library as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Characters at which NFC changes nothing and lower-casing and classes are the same in every Unicode version in use.
 _SAFE = "\t-\r -~\xa0-ɏ‐-‧€"
 _UNSAFE = re.compile(f"[^{_SAFE}]")
+#: A word, between blanks, with a character that isn't safe.
+_ODD = re.compile(f"[^ \t\n\r]*[^{_SAFE}][^ \t\n\r]*")
+BLANKS = " \t\n\r"
 
 
 def _class(kind: str) -> str:
@@ -24,8 +29,10 @@ def _class(kind: str) -> str:
 
 _L, _N = _class("L"), _class("N")
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-#: Pre-tokens a worker keeps; beyond it the cache starts anew, so memory stays bounded.
+#: Units a worker keeps; beyond it the cache starts anew, so memory stays bounded.
 CACHE = 600_000
+#: And their characters.
+CACHE_CHARS = 16 << 20
 CHUNK = 1 << 19
 
 
@@ -37,22 +44,45 @@ def chunks(text: str):
     at = 0
     while at < len(text):
         end = at + CHUNK
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and text[end] not in BLANKS:
             end += 1
         yield text[at:end]
         at = end
 
 
-def plain(text: str) -> bool:
-    return _UNSAFE.search(text) is None and not ("<|" in text and any(s in text for s in SPECIAL))
+def special(text: str) -> bool:
+    return "<|" in text and any(s in text for s in SPECIAL)
+
+
+def odd(unit: str) -> bool:
+    return _UNSAFE.search(unit) is not None
 
 
 def split(text: str) -> list[str]:
-    return _SPLIT.findall(text.lower())
+    """The units of a text without special strings, in order."""
+    if not odd(text):
+        return _SPLIT.findall(text.lower())
+    units, at = [], 0
+    for m in _ODD.finditer(text):
+        units += _SPLIT.findall(text[at : m.start()].lower())
+        units.append(m[0])
+        at = m.end()
+    return units + _SPLIT.findall(text[at:].lower())
+
+
+class Table(dict):
+    """The first tier: frequent units. What it lacks is looked up in the second, the worker's cache."""
+
+    def __init__(self, frequent: dict, cache: dict):
+        super().__init__(frequent)
+        self.cache = cache
+
+    def __missing__(self, unit: str):
+        return self.cache[unit]
 
 
 class Encoder:
-    """The library's tokenizer behind a cache of pre-tokens, which holds their ids (little-endian, 32 bits) or only their number.
+    """The library's tokenizer behind a cache of units, which holds their ids (little-endian, 32 bits) or only their number.
 
     Missing pre-tokens are encoded many at once, blanks between them; a token that ends a word says where each one's ids end.
     """
@@ -62,20 +92,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library, self.counts, self.cache, self.base = Tokenizer.from_file(path), counts, {}, {}
+        self.get, self.held = self.cache.__getitem__, 0
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def start_from(self, base: dict) -> None:
-        self.base, self.cache = base, dict(base)
+        self.base = Table(base, self.cache)
+        self.get = self.base.__getitem__
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
+    def learn(self, units: set[str]) -> None:
+        new = [w for w in units if w not in self.base and w not in self.cache]
         if not new:
             return
-        if len(self.cache) + len(new) > CACHE + len(self.base):
-            self.cache = dict(self.base)
-            new = [w for w in words if w not in self.cache]
+        self.held += sum(map(len, new))
+        if len(self.cache) + len(new) > CACHE or self.held > CACHE_CHARS:
+            self.cache.clear()
+            new = [w for w in units if w not in self.base]
+            self.held = sum(map(len, new))
+        strange = [w for w in new if odd(w)]
+        for at in range(0, len(strange), 1024):
+            part = strange[at : at + 1024]
+            ids = [x.ids for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            self.cache.update(zip(part, map(len, ids) if self.counts else (np.array(x, "<u4").tobytes() for x in ids)))
+        new = [w for w in new if not odd(w)] if strange else new
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             ids = np.array(self.whole(" ".join(part)), "<u4")
@@ -99,7 +139,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not plain(text):
+            if special(text):
                 ids = self.whole(text)
                 out[i] = len(ids) if self.counts else np.array(ids, "<u4").tobytes()
                 continue
@@ -114,7 +154,7 @@ class Encoder:
 
     def _flush(self, held: list[tuple[int, list[str]]], out: list) -> None:
         self.learn(set().union(*(words for _, words in held)))
-        get = self.cache.__getitem__
+        get = self.get
         for i, words in held:
             out[i] += sum(map(get, words)) if self.counts else b"".join(map(get, words))
 
@@ -122,8 +162,11 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, counts: bool) -> Encoder:
-    """This worker's encoder, kept over tasks."""
-    if (path, counts) not in _ENCODERS:
-        _ENCODERS[path, counts] = Encoder(path, counts)
-    return _ENCODERS[path, counts]
+def encoder(path: str, counts: bool, use: str = "") -> Encoder:
+    """This worker's encoder for a vocabulary and use, kept over tasks; the last few uses only."""
+    key = path, counts, use
+    if key not in _ENCODERS:
+        while len(_ENCODERS) > 2:
+            del _ENCODERS[next(iter(_ENCODERS))]
+        _ENCODERS[key] = Encoder(path, counts)
+    return _ENCODERS[key]

@@ -140,11 +140,23 @@ def test_token_counts_are_the_library_s(spark, odd):
     want = [len(t.encode(x or "", add_special_tokens=False).ids) for x in (r.text for r in odd.orderBy("doc_id").collect())]
     assert [got[i] for i in range(9)] == want
     assert tokens.token_counts(odd.limit(0)).count() == 0
+    assert [r.n_tokens for r in tokens.token_counts(docs(spark, ["plain words words"] * 3 + ["слово слово plain"]), entries=1).collect()] == [3, 3, 3, len(t.encode("слово слово plain").ids)]
+
+
+def test_token_count_digest(spark):
+    t = library()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in tokens.op3_token_counts(spark, DATA).collect():
+        n = len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
 
 
 def test_encoder_is_the_library_s():
     t, e = library(), Encoder(tokens.vocabulary_path(), False)
-    odd = ["<|endoftext|> a <|ENDOFTEXT|>", "don't I'LL ''s !'s 12½ª² ǅ ŉ ß x\x85y\x1cz ΣΑΣ é́ ​", "İI", "x" * 3000 + " 1234567" * 10, "a\x00b", "…–—‘’“”€ „x", "'" * 50 + "s", "don’t\t\n  'RE we'Ve"]
+    odd = ["<|endoftext|> a <|ENDOFTEXT|>", "don't I'LL ''s !'s 12½ª² ǅ ŉ ß x\x85y\x1cz ΣΑΣ é́ ​", "İI", "x" * 3000 + " 1234567" * 10, "a\x00b", "…–—‘’“”€ „x", "'" * 50 + "s", "don’t\t\n  'RE we'Ve", "Ελλάδα Σ ΟΔΟΣ καλή-μέρα ПРИВЕТ мир’s don't", "漢字 かな a漢b 12漢 한국어 ", "a \u0301b e\u0301 \u0301", "x\u200by Ａ１ ﬁ \u2028z \u3000q", "🙂 a🙂's 'S🙂 مرحبا १२३"]
+    rng = np.random.default_rng(11)
+    signs = list("abZ'sS ,.1²é\u0301\u0327Σςσ漢🙂\u200d\xa0\u2003\x85\x1c\t\nİǅſK") + ["'re", " ", "  "]
+    odd += ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
     for x, got in zip(odd, e.batch(odd)):
         assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
