@@ -19,16 +19,18 @@ QUERIES = {
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Every window of 200 bytes (400 hex digits), by its digest; a byte goes if one of the 200 windows over it occurs twice.
+#: A hash of every window of 200 bytes (400 hex digits); starts of windows met twice make spans, and what lies between them stays.
 _OP1 = """
 with d as (select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents),
-b as (select doc_id, h, length(h) // 2 as n, unnest(range(length(h) // 2)) as i from d),
-w as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as x from b where i + 200 <= n),
-r as (select doc_id, i, count(*) over (partition by x) > 1 as again from w),
-c as (select b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) as byte, coalesce(max(cast(r.again as int)) over (partition by b.doc_id order by b.i rows between 199 preceding and current row), 0) as gone from b left join r on b.doc_id = r.doc_id and b.i = r.i),
-e as (select *, lag(gone, 1, 0) over (partition by doc_id order by i) as before from c),
-k as (select doc_id, sum(gone) as n_removed, sum(case when gone = 1 and before = 0 then 1 else 0 end) as n_spans, coalesce(string_agg(byte, '' order by i) filter (gone = 0), '') as kept from e group by doc_id)
-select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+g as (select doc_id, s, substr(h, 1 + 2 * s, 1422) as part, length(h) // 2 as n from (select *, unnest(range(0, length(h) // 2 - 199, 512)) as s from d)),
+w as (select doc_id, i, hash(substr(part, 2 * (i - s) + 1, 400)) as x from (select *, unnest(range(s, least(s + 512, n - 199))) as i from g)),
+r as (select doc_id, i from w where x in (select x from w group by x having count(*) > 1)),
+m as (select *, i > coalesce(lag(i) over (partition by doc_id order by i) + 200, -1) as fresh from r),
+e as (select doc_id, a, b + 200 as b from (select doc_id, min(i) as a, max(i) as b from (select *, sum(cast(fresh as int)) over (partition by doc_id order by i) as no from m) group by doc_id, no)),
+k as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, list(a order by a) as a, list(b order by a) as b from e group by doc_id),
+o as (select d.doc_id, h, n_removed, n_spans, list_concat([0], b) as a, list_append(a, length(h) // 2) as b from d left join k on d.doc_id = k.doc_id)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+sha256(unhex(case when n_spans is null then h else array_to_string(list_transform(range(1, n_spans + 2), lambda j: substr(h, 2 * a[j] + 1, 2 * (b[j] - a[j]))), '') end)) as kept_sha256 from o
 """
 
 #: All pairs that share a shingle, then components by reachability.

@@ -5,6 +5,7 @@ hash), so equal windows, wherever they are, lie in the same bucket at the same d
 members agree on all their windows needs no more work. In the others the members' surroundings are refined: the bucket
 identifier of a longer stretch comes from sorting pairs of an identifier that is already known and the bytes, or the
 identifier, at the next offset; identifiers are reused by every longer stretch, and members alone in their bucket drop out.
+Large buckets are refined the same way by Spark, a round for each halving of the windows' range, until a task can hold the parts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import documents, pieces, small_batches, stage, without
 Q = 32
 #: Window starts that are handled at once; a longer text goes in parts.
 PART = 1 << 18
-#: A bucket of more distinct members is not gathered: its windows are counted by Spark one by one.
+#: A bucket of more distinct members is first refined by Spark in rounds, until its parts are smaller.
 GATHER = 8_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BASE = 0x9FB21C651E98DF25
@@ -271,28 +272,38 @@ def _refined(members: DataFrame, length: int) -> DataFrame:
     return members.mapInArrow(run, "k1 bigint, k2 int, span bigint")
 
 
-def _counted(members: DataFrame, length: int) -> DataFrame:
-    """The same for buckets too large to gather: every window is a row, and windows met twice come back to their members."""
+def _halved(members: DataFrame, length: int, gather: int) -> tuple[DataFrame | None, DataFrame]:
+    """Buckets of more than `gather` members in rounds: (members of buckets that are small by now, (k1, k2, span)).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in pieces(batch, ["bytes"], 1 << 17):
-                out: list[tuple] = []
-                for gram, k1, k2, place, n, text in zip(*(b.column(c).to_pylist() for c in ("gram", "k1", "k2", "place", "n", "bytes"))):
-                    size = len(text)
-                    h8 = _eights(np.frombuffer(text + bytes(16), np.uint8), size)
-                    up, down = _TABLES.get(size + 1)
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h8 * up[:size], dtype=np.uint64)])
-                    i = np.arange((place & 255) + 1)
-                    key = mix((sums[i + length - 7] - sums[i]) * down[i] + ((place >> 8 & 255) - i).astype(np.uint64))
-                    out += ((gram, int(x), k1, k2, (place >> 16) + j, n) for j, x in enumerate(key.view(np.int64).tolist()))
-                c = list(zip(*out))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds)], names=["gram", "window", "k1", "k2", "start", "n"])
-
-    windows = stage(members.mapInArrow(run, "gram bigint, window bigint, k1 bigint, k2 int, start bigint, n bigint"), "windows")
-    twice = stage(windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "windows-twice", few=True)
-    return windows.where("n = 1").join(twice, ["gram", "window"], "left_semi").select("k1", "k2", (F.shiftleft("start", 32) + F.col("start") + length).alias("span"))
+    A bucket's windows start up to `length` - Q bytes before its q-gram. Each round halves that range of starts. All windows of a
+    half cover one longer stretch around the q-gram, so the half's buckets are named by the bucket so far and that stretch.
+    Members alone in theirs drop out; where all agree on every byte their windows cover, all are shared. A range of one start
+    always ends so, hence rounds number at most the logarithm of `length`.
+    """
+    rows = members.select("gram", "k1", "k2", "place", "n", "bytes", F.lit(0).alias("d1"), F.lit(length - Q).alias("d2"))
+    lo, dist, more = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("int"), F.col("place").bitwiseAND(F.lit(255)).cast("int")
+    mid = F.floor((F.col("d1") + F.col("d2")) / 2).cast("int")
+    halves = F.array(F.struct(F.col("d1").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("d2").alias("b")))
+    small, spans = None, None
+    while True:
+        cut = rows.select("gram", "k1", "k2", "n", "bytes", lo.alias("lo"), dist.alias("dist"), more.alias("more"), F.explode(halves).alias("r"))
+        near, far = F.greatest(F.col("r.a"), F.col("dist") - F.col("more")), F.least(F.col("r.b"), F.col("dist"))
+        cut = cut.withColumns({"near": near, "far": far}).where("near <= far")
+        shared = F.expr(f"substring(bytes, dist - r.a + 1, {length} - r.b + r.a)")
+        cut = cut.select(
+            F.xxhash64("gram", "r.a", "r.b", shared).alias("gram"), "k1", "k2",
+            (F.shiftleft(F.col("lo") + F.col("dist") - F.col("far"), 16) + F.shiftleft(F.col("far").cast("long"), 8) + F.col("far") - F.col("near")).alias("place"), "n",
+            F.expr(f"substring(bytes, dist - far + 1, far - near + {length})").alias("bytes"), F.col("r.a").alias("d1"), F.col("r.b").alias("d2"),
+        )
+        cut = stage(cut.withColumn("all", F.xxhash64("bytes", F.col("place").bitwiseAND(F.lit(65535)))), "halves")
+        sizes = cut.groupBy("gram").agg(F.count("*").alias("size"), (F.min("all") == F.max("all")).alias("same")).where("size > 1")
+        named = stage(cut.join(sizes, "gram"), "half-buckets")
+        whole = named.where("same and n = 1").select("k1", "k2", (F.shiftleft(lo, 32) + lo + more + length).alias("span"))
+        few = named.where(~F.col("same") & (F.col("size") <= gather)).select("gram", "k1", "k2", "place", "n", "bytes")
+        small, spans = (few, whole) if small is None else (small.unionByName(few), spans.unionByName(whole))
+        rows = named.where(~F.col("same") & (F.col("size") > gather)).drop("all", "size", "same")
+        if not rows.head(1):
+            return small, spans
 
 
 def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = 200, gather: int = GATHER) -> DataFrame:
@@ -310,20 +321,21 @@ def remove_repeats(df: DataFrame, row_id: str = "doc_id", text: str = "text", le
     others = [c for c in without(df, "kept", "n_bytes", "n_removed", "n_spans").columns if c != text]
     keyed = df.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in others], F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(row_id), F.col(text)).alias("k1"), F.hash(F.col(text), F.col(row_id)).alias("k2"))
     members = _members(keyed.where(F.octet_length("text") >= length), length)
-    repeated = stage(members.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("gram"), "grams", few=True)
+    repeated = stage(members.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("gram"), "grams")
     again = stage(members.join(repeated, "gram"), "members")
-    covers = stage(again.groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")), "covers", few=True)
-    open_grams = stage(covers.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "open-grams", few=True)
+    covers = stage(again.groupBy("gram", "around").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("k1", "k2", F.col("places")[0].alias("place"))).alias("one")), "covers")
+    open_grams = stage(covers.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "open-grams")
     wanted = covers.join(open_grams, "gram").select("one.*", "gram", "n", "size").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "place", "n", "size")).alias("wanted"))
     packed = _packed(keyed.select("k1", "k2", "text"))
     around = _surroundings(packed.join(wanted, ["k1", "k2"]), length)
     large = bool(open_grams.where(F.col("size") > gather).head(1))
     if large:
         around = stage(around, "surroundings")
-    gathered = _refined(around.where(F.col("size") <= gather).select("gram", "k1", "k2", "place", "n", "bytes").repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place"), length)
-    spans = [gathered]
+    gathered, spans = around.where(F.col("size") <= gather).select("gram", "k1", "k2", "place", "n", "bytes"), []
     if large:
-        spans.append(_counted(around.where(F.col("size") > gather), length))
+        halved, whole = _halved(around.where(F.col("size") > gather), length, gather)
+        gathered, spans = gathered.unionByName(halved), [whole]
+    spans.append(_refined(gathered.repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place"), length))
     # members that cover the same bytes as another: all their windows are shared
     several = covers.where("n > 1").select("gram", "around")
     whole = again.join(several, ["gram", "around"], "left_semi").select("k1", "k2", F.explode("places").alias("p"))
