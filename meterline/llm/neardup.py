@@ -31,6 +31,8 @@ PARITY_BITS = 4096
 MARGIN = 0.13
 #: Centres of an unresolved bucket in each round; in the last, all of its members, so no link is missed for want of a centre.
 CENTRES = (1, 16, None)
+#: Members of an unresolved bucket that one task compares with as many others; a larger bucket is dealt by parts on both sides.
+PART_ROWS = 1024
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -160,13 +162,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels spread along edges and then jump to their own label's label; every round is a written table.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", few=True)
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels", few=True)
+    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = stage(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), "labels", few=True)
+        new = stage(spread.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("moved")), "labels")
         labels = new.select("node", "label")
         if not new.where("moved").head(1):
             return labels
@@ -194,7 +196,9 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
 
     A link: Jaccard similarity of the sets of `shingle`-word shingles is `percent` / 100 at least. Of pairs at exactly 0.8
     one in 70,000 shares no band (fewer above); pairs that do are compared unless other links already join them, in rounds
-    of more centres, in the last of which all members of a bucket are centres, so nothing is capped.
+    of more centres, in the last of which all members of a bucket are centres, so nothing is capped. Large buckets are dealt by
+    parts of both sides. The odd sketch rejects a pair whose estimate lies MARGIN below the threshold (none of 6,000 such pairs
+    in the tests).
 
     Null and empty texts, and those without words, link with nothing and are kept; a null id joins groups but never names one
     unless all its ids are null; repeated rows share an id and so stay or go together; columns with an output's name are
@@ -213,12 +217,12 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
         "classes",
     )
     members = classes.select(F.posexplode("bands").alias("no", "band"), "node")
-    shared = stage(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets", few=True)
+    shared = stage(members.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     bucket = stage(members.join(shared, "band"), "bucket-members")
     # a text in the middle of its group meets more others than one at the edge: the best centre links most at once
     degree = bucket.groupBy("node").agg(F.sum("size").alias("degree"))
     middle = bucket.join(degree, "node").groupBy("band").agg(F.max_by("node", F.struct("degree", "node")).alias("centre"))
-    first = bucket.join(stage(middle, "centres", few=True), "band").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    first = bucket.join(stage(middle, "centres"), "band").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     sides = [classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parity")]) for x in "ab"]
     right = sides[1].withColumnRenamed("b", "b2")
     likely = first.join(sides[0], "a").join(right, (F.col("b") == F.col("b2")) & _close("_a", "_b", percent)).select("a", "b")
@@ -230,18 +234,22 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
             else:
                 named = bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             named = named.where("size > 2")  # pairs are settled by the first round
-            split = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("band")
-            rows = named.join(split, "band", "left_semi").join(classes.select("node", "n", "bands", "sketch", "parity"), "node")
+            split = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("l0 <> l1").select("band", "parts")
+            rows = named.join(split, "band").join(classes.select("node", "n", "bands", "sketch", "parity"), "node")
             chosen = F.lit(True) if centres is None else F.pmod(F.xxhash64("node", "band"), F.col("size")) < centres
-            rows = stage(rows.withColumn("chosen", chosen), "open-rows", few=True)
+            own = F.pmod(F.xxhash64("node"), F.col("parts"))
+            rows = stage(rows.withColumns({"chosen": chosen, "own": own}), "open-rows", few=True)
             if not rows.head(1):
                 break
-            o = rows.select("no", "band", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bands", "sketch", "parity", "chosen")])
-            c = rows.where("chosen").select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bands", "sketch", "parity")])
+            # each pair of parts meets in one place; centres are few, so they are one part that meets all
+            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+            o = rows.select("no", "band", F.col("own").alias("part_a"), (every if centres is None else F.lit(0).cast("bigint")).alias("part_b"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bands", "sketch", "parity", "chosen")])
+            c = rows.where("chosen").select("band", every.alias("part_a"), (F.col("own") if centres is None else F.lit(0).cast("bigint")).alias("part_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bands", "sketch", "parity")])
             # only close pairs of different components leave the join, each from the first band that it shares
             once = (F.col("label_a") != F.col("label_b")) & (~F.col("chosen_a") | (F.col("node_a") < F.col("node_b")))
             here = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("no") + 1
-            likely = o.join(c, (o["band"] == c["band"]) & once & _close("_a", "_b", percent) & here).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+            met = o.join(c, ["band", "part_a", "part_b"]).where(once & _close("_a", "_b", percent) & here)
+            likely = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
             likely = likely.join(tried, ["a", "b"], "left_anti") if tried is not None else likely
         likely = stage(likely, "likely", few=True)
         if not likely.head(1):

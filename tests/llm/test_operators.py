@@ -119,6 +119,38 @@ def test_sketches_bound_and_estimate():
     assert estimate == pytest.approx(len(np.intersect1d(a, b)) / len(np.union1d(a, b)), abs=0.1)
 
 
+def test_recall_of_bands_and_sketch():
+    """Pairs of sets at exactly 0.8: nearly all share a band, and the sketch rejects none."""
+    rng = np.random.default_rng(17)
+    missed = rejected = 0
+    for size in (9, 18, 45, 90):
+        for _ in range(1500):
+            each = size // 9  # 8 parts shared, 1 of its own on each side: 8 / 10
+            x = rng.integers(0, 1 << 63, 10 * each, dtype=np.uint64)
+            v = np.array([neardup.minhash(x[: 9 * each]), neardup.minhash(np.concatenate([x[: 8 * each], x[9 * each :]]))])
+            bands, s = neardup.band_keys(v), neardup.odd_sketches(v)
+            missed += not (bands[0] == bands[1]).any()
+            rejected += int(np.bitwise_count((s[0] ^ s[1]).view(np.uint64)).sum()) > neardup.most_flips(0.8)
+    assert missed <= 2 and rejected == 0
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_large_buckets_are_dealt_by_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(neardup, "PART_ROWS", part)
+    monkeypatch.setattr(neardup, "CENTRES", (1, None) if part == 1 else (1, 2, None))
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(300)]
+    base = list(rng.choice(words, 100))
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for at in rng.choice(100, rng.integers(0, 8), replace=False):
+            w[at] = f"n{rng.integers(1e6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, texts), shingle=4).collect()}
+    assert [got[i] for i in range(len(texts))] == component(texts, 4)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(50, 60)], "a long, b long")
     got = {r.node: r.label for r in neardup.components(edges).collect()}
