@@ -254,6 +254,52 @@ def test_contexts_find_what_forms_miss(spark):
     assert masked[0] == "contact: [EMAIL] then" and masked[39] == "the contact: [CONTEXT] here" and masked[40] == texts[40]
 
 
+def test_wider_contexts(spark):
+    texts = [f"please write to my address user{i}@mail.com soon ok" for i in range(30)] + ["Please write to my address (jane-office-77) soon", "no address jane77-office here", "a b c reach me at +49 30 12345%02d now" % 1]
+    texts += [f"you may reach me at +49 30 12345{i} today then" for i in range(10, 20)] + ["you may reach me at ext-5512-b today", "x" * 90 + "1 z", "please write to my address " + "y7" * 60]
+    out = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(docs(spark, texts))).collect()}
+    assert out[30] == "context:28:42" and out[31] == "" and out[43] == "context:20:30" and out[44] == "" and out[45] == "context:27:147"
+
+
+def graph(edges, rounds, support, confidence):
+    """learn_contexts over (label, value, seed), in plain Python."""
+    score = {}
+    for _, v, s in edges:
+        score[v] = max(score.get(v, 0.0), s)
+    seeds, labels = dict(score), {}
+    for lab, v, s in edges:
+        labels.setdefault(lab, {})[v] = max(labels.get(lab, {}).get(v, 0.0), s)
+    labels = {k: v for k, v in labels.items() if len(v) >= support}
+    trust = {}
+    for _ in range(rounds):
+        trust = {k: sum(score[x] for x in vs) / len(vs) for k, vs in labels.items() if sum(score[x] >= 0.5 for x in vs) >= support}
+        score = {x: max(seeds[x], 1 - float(np.prod([max(1e-9, 1 - trust[k]) for k in labels if k in trust and x in labels[k]]))) for x in seeds}
+    return {(k, x) for k in labels for x, s in labels[k].items() if s == 0 and trust.get(k, 0) >= confidence and score[x] >= confidence}
+
+
+def test_pattern_graph(spark):
+    rng = np.random.default_rng(6)
+    edges = [(f"p{rng.integers(12)}", f"v{rng.integers(60)}") for _ in range(400)]
+    seed = {f"v{i}": float(i % 7 != 0) for i in range(60)}
+    edges = [(a, b, seed[b]) for a, b in edges if not (a in ("p0", "p1") and seed[b])] + [("q", f"v{i}", seed[f"v{i}"]) for i in range(1, 7)] + [("q", "v7", 0.0)]
+    got = pii.learn_contexts(spark.createDataFrame(edges, "label string, value string, seed double"), 3, 5, 0.8)
+    want = graph(edges, 3, 5, 0.8)
+    assert {(r.label, r.value) for r in got.collect()} == want and ("q", "v7") in want
+
+
+def test_spans_of_odd_tables(spark):
+    """Empty table, repeated rows, clashing names, very many matches, a text that begins with a byte-order mark."""
+    many = " ".join(f"u{i}@m.de" for i in range(20_000))
+    texts = [many, "\ufeffmail a@b.cd \ufeff😀 +49 30 1234567 end", None]
+    df = docs(spark, texts).withColumns({"spans": F.lit(1), "value": F.lit("x"), "label": F.lit(2), "start": F.lit("s"), "__base": F.lit(0)})
+    out = pii.digest(pii.find_pii(df.unionByName(df)))
+    got = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_email").alias("e"), F.max("spans").alias("s"), F.max("label").alias("l")).collect()
+    assert {r.doc_id: (r.n, r.e, r.l) for r in got} == {0: (2, 20_000, 2), 1: (2, 1, 2), 2: (2, 0, 2)}
+    masked = {r.doc_id: r.text for r in pii.redact(pii.find_pii(df)).collect()}
+    assert masked[1] == "\ufeffmail [EMAIL] \ufeff😀 [PHONE] end" and masked[0] == " ".join(["[EMAIL]"] * 20_000) and masked[2] is None
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.op4_contextual_pii(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
