@@ -369,6 +369,43 @@ def test_warc_skips_payloads_and_pushes_filters(spark, tmp_path):
     assert warc.read_warc(spark, f"{path}0").count() == 0
 
 
+def foreign(number, kind="response", body=b"", http=True, extra=()):
+    block = (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n" if http else b"") + body
+    lines = [b"WARC/1.0", b"warc-type:" + kind.encode(), b"WARC-Record-ID: <urn:x:%d>" % number, *extra, b"Content-Type: " + (b"application/http; msgtype=response" if http else b"text/plain"), b"content-length:  %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    big, head = bytes(range(256)) * 2000, b"X-Long: " + b"h" * 9000
+    rows = [foreign(0, "warcinfo", b"software: x", False), foreign(1, body=b"one\r\n\r\ntwo"), foreign(2, body=big, extra=[head]), foreign(3, "revisit"), foreign(4, body=b""), foreign(5, "resource", big[::-1], False)]
+    want = {0: b"software: x", 1: b"one\r\n\r\ntwo", 2: big, 3: None, 4: b"", 5: big[::-1]}
+    forms = {"a.warc": b"".join(rows), "b.warc.gz": b"".join(gzip.compress(r) for r in rows), "c.warc.gz": gzip.compress(b"".join(rows)), "d.warc.gz": b"".join(warc.member(r) if i % 2 else gzip.compress(r) for i, r in enumerate(rows)), "e.warc": b"", "note.txt": b"no archive"}
+    for name, data in forms.items():
+        (tmp_path / name).write_bytes(data)
+    for where, times in ((tmp_path, 4), (tmp_path / "*.warc.gz", 3), (tmp_path / "a.warc", 1)):
+        got = warc.read_warc(spark, f"file://{where}", ["record_id", "payload"]).collect()
+        pairs = [(r.record_id, None if r.payload is None else bytes(r.payload)) for r in got]
+        assert sorted(pairs, key=str) == sorted([(f"<urn:x:{i}>", want[i]) for i in want for _ in range(times)], key=str)
+    heads = warc.read_warc(spark, f"file://{tmp_path}", ["record_id", "record_type"]).where("record_type = 'response'").collect()
+    assert sorted(r.record_id for r in heads) == sorted(f"<urn:x:{i}>" for i in (1, 2, 4) for _ in range(4))
+    two = warc.read_warc(spark, f"file://{tmp_path}").where("record_id = '<urn:x:2>'").collect()
+    assert [bytes(r.payload) for r in two] == [big] * 4
+    (tmp_path / "bad.warc").write_bytes(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n")
+    with pytest.raises(Exception, match="without Content-Length"):
+        warc.read_warc(spark, f"file://{tmp_path}/bad.warc").collect()
+
+
+def test_op6_of_odd_pages(spark, tmp_path):
+    """An empty table, and columns that have the names of outputs."""
+    kinds = "page_id long, url string, html string, payload string, record_type string"
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert warc.op6_warc(spark, str(tmp_path / "none")).count() == 0
+    spark.createDataFrame([(1, "u", "é" * 900, "x", "y"), (2, "u", "é" * 900, None, "z")], kinds).write.parquet(str(tmp_path / "two/pages.parquet"))
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path / "two")).collect()) == [(1, 1800, "revisit", 2), (2, 1800, "response", None)]
+
+
 # ---- 7 ----
 
 def hits(text, items):
