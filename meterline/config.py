@@ -75,14 +75,6 @@ class Settings:
         return [p.name for p in self.periods if p.season]
 
 
-# Deliveries, large shops with car parks of their own, vending, online and out-of-town merchants.
-NAME_EXCLUSIONS = (
-    "GLOVO", "WOLT", r"UBER ?\*? ?EATS", "PYSZNE", r"BOLT ?FOOD", "AUCHAN", r"CARREFOUR(?! ?(EXPRESS|MARKET))", "LIDL", "KAUFLAND", "MANUFAKTURA",
-    "PORT LODZ", "GALERIA LODZKA", "SUKCESJA", "PASAZ LODZKI", "TULIPAN", "IKEA", "CASTORAMA", "LEROY MERLIN", "DECATHLON", "MAKRO", "SELGROS",
-    r"AUTOMAT(?!YK)", "VENDING", r"WWW\.", r"\.(PL|COM|EU)\b", r"PAYU\*", r"\bMOP\b",
-)
-
-
 @dataclass(frozen=True)
 class Level:
     """A level's rates as multiples of the base rate: a preferential period (a flat fee, or by the hour), then up to the

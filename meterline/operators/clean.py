@@ -37,21 +37,34 @@ def hubs(tx: DataFrame, s: Settings) -> DataFrame:
     return tx.where("zone is not null").groupBy("zone").agg(F.count_distinct("merchant").alias("merchants"), F.count("*").alias("transactions")).where(F.col("merchants") > s.hub_merchants)
 
 
+def _visit_rules(s: Settings) -> list[tuple[str, list, bool, bool]]:
+    """What a purchase at a place looks like: column, values, whether they are the ones wanted, and whether null passes."""
+    return [
+        ("period", s.seasons, True, False),
+        ("workday", [True], True, False),
+        ("cp_flag", [1], True, False),
+        ("transaction_type", list(s.visit_types), True, False),
+        ("channel_flg", list(s.remote_channels), False, True),
+        ("transaction_pos_entry_mode", list(s.manual_modes), False, True),
+        ("mcc", [*s.excluded_mcc, *s.fuel_mcc], False, False),
+    ]
+
+
 def visit_transactions(tx: DataFrame, groups: DataFrame, s: Settings, left_out: DataFrame | None = None) -> DataFrame:
     """Purchases that a person made at a place on a season's workday, with service group, default minutes and visitor flag.
 
     `groups` maps mcc to a service group and drops what it doesn't know; `left_out` holds zones to leave out.
     """
-    known = lambda c: F.coalesce(F.col(c), F.lit(""))
-    kept = tx.where(F.col("period").isin(*s.seasons) & F.col("workday") & F.col("zone").isNotNull())
-    kept = kept.where(F.col("transaction_type").isin(*s.visit_types) & (F.col("cp_flag") == 1))
-    kept = kept.where(~known("channel_flg").isin(*s.remote_channels) & ~known("transaction_pos_entry_mode").isin(*s.manual_modes))
-    kept = kept.where(~F.col("mcc").isin(*s.excluded_mcc, *s.fuel_mcc))
+    holds = F.col("zone").isNotNull()
+    for column, values, wanted, null_passes in _visit_rules(s):
+        among = F.col(column).isin(*values)
+        holds &= F.coalesce(among if wanted else ~among, F.lit(null_passes)) if null_passes else (among if wanted else ~among)
     if s.exclusions:
-        kept = kept.where(~F.upper(known("merchant")).rlike("|".join(f"(?:{p})" for p in s.exclusions)))
+        holds &= ~F.upper(F.coalesce("merchant", F.lit(""))).rlike("|".join(f"(?:{p})" for p in s.exclusions))
+    kept = tx.where(holds).join(groups, "mcc")
     if left_out is not None:
         kept = kept.join(left_out.select("zone").distinct(), "zone", "left_anti")
-    return kept.join(groups, "mcc").withColumn("visitor", (F.col("home").isNull() | (F.col("home") != F.col("zone"))).cast("int"))
+    return kept.withColumn("visitor", (~F.col("home").eqNullSafe(F.col("zone"))).cast("int"))
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:

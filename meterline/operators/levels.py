@@ -17,32 +17,29 @@ def level_of(pressure: Column, s: Settings) -> Column:
 
 
 def dense(zone_metrics: DataFrame, s: Settings) -> DataFrame:
-    """Every zone x season x block; the paid-zone flag is the zone's."""
-    zones = zone_metrics.groupBy("zone").agg(F.max("paid_zone").alias("paid_zone"))
-    axes = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.lit(i).alias("period_no"), F.lit(b.name).alias("block"), F.lit(j).alias("block_no")) for i, p in enumerate(s.seasons) for j, b in enumerate(s.blocks)]))
-    grid = zones.withColumn("axis", axes).select("zone", "paid_zone", "axis.*")
-    return grid.join(zone_metrics.drop("paid_zone"), ["zone", "period", "block"], "left")
+    """Every zone x season x block; the paid-zone flag is the zone's. A zone's cells, a few, become a map that the grid reads."""
+    axes = F.array(*[F.struct(F.lit(p).alias("period"), F.lit(i).alias("period_no"), F.lit(b.name).alias("block"), F.lit(j).alias("block_no")) for i, p in enumerate(s.seasons) for j, b in enumerate(s.blocks)])
+    cell = F.struct(F.struct("period", "block").alias("key"), F.struct("cards", "pressure", "too_few").alias("value"))
+    zones = zone_metrics.groupBy("zone").agg(F.max("paid_zone").alias("paid_zone"), F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    grid = zones.select("zone", "paid_zone", "cells", F.explode(axes).alias("axis"))
+    found = F.try_element_at("cells", F.struct("axis.period", "axis.block"))
+    return grid.select("zone", "axis.*", "paid_zone", found.alias("cell")).select("zone", "period", "block", "paid_zone", "period_no", "block_no", "cell.*")
 
 
 def level_table(zone_metrics: DataFrame, s: Settings) -> DataFrame:
     """zone, period, block, level, note, percentile, pressure, cards, too_few, paid_zone (and the order of period and block).
 
-    The percentile is 100 x minimum rank / number of the season's cells with enough data; it informs only.
+    The percentile is 100 x minimum rank / number of the season's cells with enough data; it informs only. A season has as many
+    cells as zones times blocks, whatever the transactions number, so its ranks are one window.
     """
-    grid = dense(zone_metrics, s)
     few = F.coalesce("too_few", F.lit(True)) | F.col("pressure").isNull() | ~F.coalesce(F.col("cards") >= s.min_cards, F.lit(False))
-    grid = grid.withColumn("too_few", few)
-    ok = grid.where("not too_few")
-    # the rank without a window over a season: how many cells lie below, from the counts of equal pressures
-    counts = ok.groupBy("period", "pressure").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("period").orderBy("pressure").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("period")
-    ranks = counts.select("period", "pressure", (100.0 * (F.coalesce(F.sum("n").over(running), F.lit(0)) + 1) / F.sum("n").over(total)).alias("percentile"))
-    joined = grid.withColumn("p", F.when(~F.col("too_few"), F.col("pressure"))).join(ranks.withColumnsRenamed({"period": "rp", "pressure": "rv"}), (F.col("period") == F.col("rp")) & (F.col("p") == F.col("rv")), "left")
+    grid = dense(zone_metrics, s).withColumn("too_few", few)
+    season = Window.partitionBy("period", "too_few")
+    rank = 100.0 * F.rank().over(season.orderBy("pressure")) / F.count("*").over(season)
     hidden = lambda c: F.when(~F.col("too_few"), F.col(c))
-    return joined.select(
+    return grid.withColumn("rank", rank).select(
         "zone", "period", "block", F.when(F.col("too_few"), "P1").otherwise(level_of(F.col("pressure"), s)).alias("level"), F.when(F.col("too_few"), TOO_FEW).otherwise("").alias("note"),
-        "percentile", hidden("pressure").alias("pressure"), hidden("cards").alias("cards"), "too_few", "paid_zone", "period_no", "block_no",
+        hidden("rank").alias("percentile"), hidden("pressure").alias("pressure"), hidden("cards").alias("cards"), "too_few", "paid_zone", "period_no", "block_no",
     )
 
 

@@ -61,14 +61,13 @@ def write_all(raw: DataFrame, ref: Reference, s: Settings, directory: str) -> No
     from ..sources.sinks import write_aggregate
 
     f = facts(raw, ref, s)
-    f.visits = f.visits.persist(StorageLevel.DISK_ONLY)
-    f.paid = f.paid.persist(StorageLevel.DISK_ONLY)
+    f.tx, f.visits, f.paid = (x.persist(StorageLevel.DISK_ONLY) for x in (f.tx, f.visits, f.paid))
     try:
         for name, df in from_facts(f, ref, s).items():
             write_aggregate(df, f"{directory}/{name}.parquet")
     finally:
-        f.visits.unpersist()
-        f.paid.unpersist()
+        for x in (f.tx, f.visits, f.paid):
+            x.unpersist()
 
 
 def level_table(raw: DataFrame, ref: Reference, s: Settings) -> DataFrame:

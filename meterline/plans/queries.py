@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Policy
 from ..functions import calendar, geo, money, text
 from ..operators import clean, decisions, georef, layers, levels, metrics, nearest, parking, visits
+from ..sources.tables import Reference
 from . import build
 from . import testdata as td
 
@@ -54,27 +55,56 @@ def paid(spark, d) -> DataFrame:
     return parking.payments(tx(spark, d), r.tariff, S, r.meters)
 
 
+@dataclass
+class Kept:
+    """What several parts of one query read: facts, and the cells and weekly pressures that all levels follow from."""
+
+    facts: build.Facts
+    ref: Reference
+    cells: DataFrame
+    weekly: DataFrame
+
+
+#: Tables kept for the last query; the next one lets them go.
+_LAST: list[DataFrame] = []
+
+
+def kept(spark, d) -> Kept:
+    while _LAST:
+        _LAST.pop().unpersist()
+    r = ref(spark)
+    f = build.facts(city(spark, d), r, S)
+    for name in ("tx", "paid", "visits"):
+        setattr(f, name, getattr(f, name).persist())
+    cells = metrics.cells(f.visits, metrics.driver_share(f.visits, r.paid_zones))
+    weekly = metrics.weekly_pressure(f.visits, cells, metrics.season_weeks(f.tx, S))
+    k = Kept(f, r, cells.persist(), weekly.persist())
+    _LAST.extend([f.tx, f.paid, f.visits, k.cells, k.weekly])
+    return k
+
+
 def facts(spark, d) -> build.Facts:
-    """Transactions, payments and visits are kept (on disk where memory is short): several parts of one query read them."""
-    f = build.facts(city(spark, d), ref(spark), S)
-    for kept in (f.tx, f.paid, f.visits):
-        kept.persist()
-    return f
+    return build.facts(city(spark, d), ref(spark), S)
 
 
 def out(spark, d, name: str) -> DataFrame:
     return build.from_facts(facts(spark, d), ref(spark), S)[name]
 
 
-def zone_cells(spark, d) -> DataFrame:
-    f, r = facts(spark, d), ref(spark)
-    cells = metrics.cells(f.visits, metrics.driver_share(f.visits, r.paid_zones))
-    weekly = metrics.weekly_pressure(f.visits, cells, metrics.season_weeks(f.tx, S))
-    return metrics.zone_metrics(f.visits, weekly, ZONES, r.paid_zones)
+def zone_cells(k: Kept) -> DataFrame:
+    return metrics.zone_metrics(k.facts.visits, k.weekly, ZONES, k.ref.paid_zones)
+
+
+def groups_of(k: Kept) -> DataFrame:
+    return metrics.group_metrics(k.cells, k.weekly, S)
 
 
 def level_rows(spark, d) -> DataFrame:
-    return levels.level_table(zone_cells(spark, d), ZONES)
+    return levels_of(kept(spark, d))
+
+
+def levels_of(k: Kept) -> DataFrame:
+    return levels.level_table(zone_cells(k), ZONES)
 
 
 def r6(*names: str) -> list[Column]:
@@ -164,12 +194,12 @@ def driver_share(spark, d):
 
 @query("group_metrics", f"select zone, block, period, service_group, cards, {s6('driver_share', 'visit_minutes', 'pressure')}, paid_zone from gm", "gm")
 def group_metrics(spark, d):
-    return out(spark, d, "group_metrics").select("zone", "block", "period", "service_group", "cards", *r6("driver_share", "visit_minutes", "pressure"), "paid_zone")
+    return groups_of(kept(spark, d)).select("zone", "block", "period", "service_group", "cards", *r6("driver_share", "visit_minutes", "pressure"), "paid_zone")
 
 
 @query("zone_metrics", f"select zone, block, period, cards, {s6('pressure')}, too_few, paid_zone from zm", "zm")
 def zone_metrics(spark, d):
-    return zone_cells(spark, d).select("zone", "block", "period", "cards", *r6("pressure"), "too_few", "paid_zone")
+    return zone_cells(kept(spark, d)).select("zone", "block", "period", "cards", *r6("pressure"), "too_few", "paid_zone")
 
 
 @query(
@@ -246,7 +276,7 @@ def day_labels(spark, d):
 
 @query("visit_time_matrix", "select zone, " + ", ".join(f"round(max(case when service_group = '{g}' then visit_minutes end), 6) as {g}" for _, g, _ in td._GROUPS) + " from gm where period = 'S2' and block = '13-16' group by zone", "gm")
 def visit_time_matrix(spark, d):
-    g = out(spark, d, "group_metrics").withColumn("visit_minutes", F.round("visit_minutes", 6))
+    g = groups_of(kept(spark, d)).withColumn("visit_minutes", F.round("visit_minutes", 6))
     return levels.visit_minutes(g, "S2", "13-16", [x[1] for x in td._GROUPS])
 
 
@@ -277,12 +307,13 @@ def _cost(m: str) -> str:
 
 @query("dominant_groups", f"select * from {_DOM}", "gm")
 def dominant_groups(spark, d):
-    return decisions.dominant_groups(out(spark, d, "group_metrics"))
+    return decisions.dominant_groups(groups_of(kept(spark, d)))
 
 
 @query("rate_table", f"select zone, period, block, level, dominant_group, fm as first_minutes, flat, fr as first_rate, case when fm < 120 then tr end as then_rate, ar as after_rate, " + ", ".join(f"round({_cost(str(60 * h))} - ({_cost(str(60 * h - 60))}), 2) as hour_{h}" for h in (1, 2, 3)) + ", " + ", ".join(f"round({_cost(str(60 * h))}, 2) as cost_{h}h" for h in (1, 2, 3)) + f" from {_PRICED}", "lv", "gm")
 def rate_table(spark, d):
-    return decisions.rate_table(level_rows(spark, d), out(spark, d, "group_metrics"), POLICY)
+    k = kept(spark, d)
+    return decisions.rate_table(levels_of(k), groups_of(k), POLICY)
 
 
 @query("level_rates", "select level, opening, cast(hour_1 as double) as hour_1, cast(hour_2 as double) as hour_2, cast(hour_3 as double) as hour_3, cast(cost_3h as double) as cost_3h from (values ('P1', '3,60 zł/h przez pierwsze 60 min', 3.6, 4.8, 4.8, 13.2), ('P2', '6,00 zł/h przez pierwsze 60 min', 6.0, 7.2, 8.4, 21.6), ('P3', '3,00 zł za pierwsze 45 min (opłata stała)', 5.25, 9.0, 12.0, 26.25), ('P4', '1,80 zł za pierwsze 30 min (opłata stała)', 7.8, 12.0, 18.0, 37.8)) t(level, opening, hour_1, hour_2, hour_3, cost_3h)")
@@ -298,7 +329,8 @@ def stay_costs(spark, d):
 
 @query("cost_breakdown", f"select zone, period, block, level, minutes, least(minutes, fm) as first_part, greatest(0, least(minutes, 120) - fm) as then_part, greatest(0, minutes - greatest(fm, 120)) as after_part, round({_cost('minutes')}, 2) as cost from (select *, unnest(list_distinct([30, 60, 120, 180, fm])) as minutes from {_PRICED})", "lv", "gm")
 def cost_breakdown(spark, d):
-    return decisions.cost_breakdown(level_rows(spark, d), out(spark, d, "group_metrics"), POLICY)
+    k = kept(spark, d)
+    return decisions.cost_breakdown(levels_of(k), groups_of(k), POLICY)
 
 
 def _plan_sql(f: str, t: str, a: str) -> str:
@@ -328,7 +360,8 @@ _ASKED = "(select event_id as request_id, '90-00' || (user_id % 4) as zone, case
 def driver_cards(spark, d):
     """Zones without a table of levels keep nulls; outside the blocks parking is free."""
     asked = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("90-00"), (F.col("user_id") % 4).cast("string")).alias("zone"), F.when(F.dayofmonth("ts") <= 15, "S1").otherwise("S2").alias("period"), F.col("ts").cast("timestamp").alias("at"))
-    return decisions.driver_cards(asked, levels.valid_until(level_rows(spark, d)), out(spark, d, "group_metrics"), POLICY, S)
+    k = kept(spark, d)
+    return decisions.driver_cards(asked, levels.valid_until(levels_of(k)), groups_of(k), POLICY, S)
 
 
 @query(
@@ -337,7 +370,8 @@ def driver_cards(spark, d):
     "lv", "gm",
 )
 def recommendations(spark, d):
-    r = decisions.recommendations(level_rows(spark, d), out(spark, d, "group_metrics"), ZONES, "S2", "13-16")
+    k = kept(spark, d)
+    r = decisions.recommendations(levels_of(k), groups_of(k), ZONES, "S2", "13-16")
     return r.select("zone", "period", "block", "level", *r6("pressure"), "cards", *r6("percentile"), "high_blocks", "known_blocks", "dominant_group", "action", "also")
 
 
@@ -374,12 +408,12 @@ _SHARES = "(select zone, " + ", ".join(f"100.0 * coalesce(sum(cards) filter (ser
 
 @query("type_shares", f"select zone, {s6(*layers.VISIT_TYPES)} from {_SHARES}", "gm")
 def type_shares(spark, d):
-    return layers.type_shares(out(spark, d, "group_metrics"), "S2", "10-13", S).select("zone", *r6(*layers.VISIT_TYPES))
+    return layers.type_shares(groups_of(kept(spark, d)), "S2", "10-13", S).select("zone", *r6(*layers.VISIT_TYPES))
 
 
 @query("zones_with_types", f"select zone from {_SHARES} where short >= 20 and shopping >= 20", "gm")
 def zones_with_types(spark, d):
-    return layers.with_types(layers.type_shares(out(spark, d, "group_metrics"), "S2", "10-13", S), ["short", "shopping"], 20, all_of=True)
+    return layers.with_types(layers.type_shares(groups_of(kept(spark, d)), "S2", "10-13", S), ["short", "shopping"], 20, all_of=True)
 
 
 @query(

@@ -62,6 +62,10 @@ def read_csv(spark: SparkSession, name: str, directories: list[str], optional: b
     raise FileNotFoundError(f"{name}.csv in none of {directories}")
 
 
+#: Exclusion patterns that may be given.
+MOST_PATTERNS = 10_000
+
+
 @dataclass
 class Reference:
     groups: DataFrame
@@ -88,10 +92,18 @@ def load_reference(spark: SparkSession, directory: str, shared: str) -> Referenc
         reach=None if near is None else near.select(F.upper("meter").alias("meter"), "zone"),
         paid_zones=read_csv(spark, "paid_zones", [directory], optional=True),
         left_out=read_csv(spark, "left_out", [directory], optional=True),
-        exclusions=() if patterns is None else tuple(r.pattern for r in patterns.limit(10_000).collect()),
+        exclusions=() if patterns is None else _patterns(patterns),
     )
 
 
+def _patterns(table: DataFrame) -> tuple[str, ...]:
+    """Patterns become one expression, so there is a bound to their number; more are an error, not cut off."""
+    found = table.limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} exclusion patterns")
+    return tuple(r.pattern for r in found)
+
+
 def read_aggregates(spark: SparkSession, directories: list[str]) -> dict[str, DataFrame | None]:
     """The aggregates of the first directory that has zone metrics, checked against their contracts."""
     home = next((d for d in directories if exists(spark, f"{d}/zone_metrics.parquet")), None)

@@ -42,7 +42,7 @@ def comparable(rows):
     return sorted(([one(v) for v in r] for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if not n.startswith("op") and n not in ("recommendations", "rate_table", "cost_breakdown")])
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if not n.startswith("op")])
 def test_sql_agrees(spark, name):
     con = duckdb.connect()
     for t in TABLES:
