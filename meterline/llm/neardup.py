@@ -238,7 +238,7 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
             rows = named.join(split, "band").join(classes.select("node", "n", "bands", "sketch", "parity"), "node")
             chosen = F.lit(True) if centres is None else F.pmod(F.xxhash64("node", "band"), F.col("size")) < centres
             own = F.pmod(F.xxhash64("node"), F.col("parts"))
-            rows = stage(rows.withColumns({"chosen": chosen, "own": own}), "open-rows", few=True)
+            rows = stage(rows.withColumns({"chosen": chosen, "own": own}), "open-rows")
             if not rows.head(1):
                 break
             # each pair of parts meets in one place; centres are few, so they are one part that meets all
