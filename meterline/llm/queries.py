@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, media, neardup, packing, pii, sharding, suffixes, tokens, toxicity, warc
+from . import decontam, media, neardup, packing, pii, runs, sharding, suffixes, tokens, topk, toxicity, warc, whitening
 
 QUERIES = {
     "op1_bucket_pointer_refinement": suffixes.op1_bucket_pointer_refinement,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_telephony_audio": media.op9_telephony_audio,
     "op10_histogram_sort": sharding.op10_histogram_sort,
+    "op11_jacobi_whitening": whitening.op11_jacobi_whitening,
+    "op12_norm_buckets": topk.op12_norm_buckets,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -64,5 +67,16 @@ m as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated from d left join n on d.doc_id = n.doc_id left join m on d.doc_id = m.doc_id
 """
 
-#: Queries 3 and 8 need a tokenizer, 4, 5 and 10 results of a method, 9 a codec: they are tested against brute force instead.
-ORACLES: dict[str, str] = {"op1_bucket_pointer_refinement": _OP1, "op2_odd_sketches": _OP2, "op6_warc": _OP6, "op7_decontamination": _OP7}
+#: All products of the asked vectors with all others.
+_OP12 = """
+with v as (select row_number() over () as u, vec_id, list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select a.u, a.vec_id as query_id, b.vec_id, cast(coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
+  from v a join v b on a.u <> b.u where a.vec_id % 50 = 0),
+r as (select query_id, vec_id, score, row_number() over (partition by u order by score desc, vec_id nulls last) as rank from s)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+#: Queries 3 and 8 need a tokenizer, 4, 5 and 10 results of a method, 9 a codec, 11 an eigenvalue solver, and 13 compares all pairs
+#: of words of a text: they are tested against brute force instead.
+ORACLES: dict[str, str] = {"op12_norm_buckets": _OP12, "op1_bucket_pointer_refinement": _OP1, "op2_odd_sketches": _OP2, "op6_warc": _OP6, "op7_decontamination": _OP7}
