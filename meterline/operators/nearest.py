@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import quadtree
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -26,37 +25,21 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return pairs.where(F.col("distance") <= radius).drop("cx", "cy")
 
 
-def _reach(left: DataFrame, right: DataFrame) -> float:
-    """No place of left is farther from one of right than this; negative if a table has no place."""
-    real = lambda *names: " and ".join(f"{n} > double('-inf') and {n} < double('inf')" for n in names)
-    at = left.where(real("x", "y")).select("x", "y", F.lit(0).alias("side")).unionByName(right.where(real("rx", "ry")).select(F.col("rx").alias("x"), F.col("ry").alias("y"), F.lit(1).alias("side")))
-    e = at.agg(F.count_distinct("side").alias("sides"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    return math.hypot(e.w, e.h) if e.sides == 2 else -1.0
-
-
-def nearest(left: DataFrame, right: DataFrame, radius: float, rounds: int = 8) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, bound: int = 32) -> DataFrame:
     """For each left row (id, x, y) the nearest right row (rid) and its distance; the smallest rid on a tie.
 
-    The search radius doubles until nothing is left: what is found within a radius is final, since all that is as near has
-    been looked at. If rows are left after `rounds` rounds, the extent of both tables says how far the radius has to grow.
-    Only rows without a place (null, NaN or infinite), and all rows if right has no place, have nulls. What a round finds is
-    kept as a checkpoint, so the plan doesn't double with each round.
+    right is divided by a quad-tree whose leaves hold at most `bound` places, so the pairs that are looked at follow the
+    number of rows, not how dense they lie. Rows of left without a place (null, NaN or infinite), and all rows if right has no
+    place, have nulls; a repeated row of left is answered each time, repeated places of right are one.
     """
-    shared = left.sparkSession.sparkContext.getCheckpointDir()
-    kept = lambda t: t.checkpoint() if shared else t.localCheckpoint()
-    todo, found, far, n = left, None, None, 0
-    while True:
-        best = kept(within(todo, right, radius).groupBy("id").agg(F.min(F.struct("distance", "rid")).alias("b")).select("id", "b.rid", "b.distance"))
-        found = best if found is None else found.unionByName(best)
-        todo, n = todo.join(best.select("id"), "id", "left_anti"), n + 1
-        if not todo.head(1):
-            break
-        if n >= rounds:
-            far = _reach(todo, right) if far is None else far
-            if radius > far * (1 + 1e-9):
-                break
-        radius *= 2
-    return left.select("id").join(found, "id", "left")
+    placed = quadtree.real("x", "y")
+    tree = quadtree.build(right.where(quadtree.real("rx", "ry")).groupBy(F.col("rx").cast("double").alias("x"), F.col("ry").cast("double").alias("y")).agg(F.min("rid").alias("rid")), bound)
+    none = [F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("distance")]
+    if tree is None:
+        return left.select("id", *none)
+    asked = left.where(placed).groupBy("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.count("*").alias("times"))
+    found = quadtree.nearest_place(asked, tree).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return found.select("id", "near.rid", "near.distance").unionByName(left.where(~placed).select("id", *none))
 
 
 def nearest_or_new(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

@@ -509,7 +509,7 @@ def vectors(spark, d):
 @query("nearest_place", f"select a.id, arg_min(b.id, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id)) as rid, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as distance from ({_V}) a, ({_V}) b where b.id % 3 = 0 and a.id % 3 <> 0 group by a.id")
 def nearest_place(spark, d):
     v = vectors(spark, d)
-    return nearest.nearest(v.where("id % 3 <> 0"), v.where("id % 3 = 0").toDF("rid", "rx", "ry"), 4.0, rounds=12).select("id", "rid", F.round("distance", 6).alias("distance"))
+    return nearest.nearest(v.where("id % 3 <> 0"), v.where("id % 3 = 0").toDF("rid", "rx", "ry")).select("id", "rid", F.round("distance", 6).alias("distance"))
 
 
 @query("places_within", f"select a.id, b.id as rid, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as distance from ({_V}) a, ({_V}) b where b.id % 3 = 0 and a.id % 3 <> 0 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 5")

@@ -115,7 +115,7 @@ def test_reach_of_squares(spark):
 def test_nearest_grows_its_radius(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 5.0, 10.0), (8, -5.0, -10.0), (9, 190.0, 0.0)], "rid long, rx double, ry double")
-    got = {r.id: (r.rid, round(r.distance, 1)) for r in nearest.nearest(a, b, 4.0).collect()}
+    got = {r.id: (r.rid, round(r.distance, 1)) for r in nearest.nearest(a, b).collect()}
     assert got == {1: (7, 11.2), 2: (9, 90.0)}
 
 

@@ -66,6 +66,6 @@ def test_every_reading_is_settled(spark, monkeypatch):
 def test_nearest_place_however_far(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 7e5, 0.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 3e6, 4e6)], "id long, x double, y double")
     b = spark.createDataFrame([(7, 3.0, 0.0), (8, 0.0, -9.0), (9, None, 0.0)], "rid long, rx double, ry double")
-    got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b, 4.0).collect()}
+    got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b).collect()}
     assert got == {1: (7, 3.0), 2: (7, 699997.0), 3: (None, None), 4: (None, None), 5: (7, pytest.approx(math.hypot(3e6 - 3, 4e6)))}
-    assert [r.rid for r in nearest.nearest(a, b.limit(0), 4.0, rounds=1).collect()] == [None] * 5
+    assert [r.rid for r in nearest.nearest(a, b.limit(0)).collect()] == [None] * 5
