@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.operators import nearest, quadtree
+from meterline.operators import nearest, quadtree, voronoi
 
 
 def clustered(n, seed=3):
@@ -51,3 +51,56 @@ def test_pairs_follow_the_number_of_places(spark):
         asked = spark.createDataFrame(clustered(n, seed=5), "id long, x double, y double")
         made.append(quadtree.candidates(asked, tree).count())
     assert made[1] < 8 * made[0] and made[1] < 300 * 3000
+
+
+# ---- Voronoi ----
+
+def area(ring):
+    return sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
+
+
+def inside(ring, x, y):
+    return all((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) >= -2e-6 * math.hypot(b["x"] - a["x"], b["y"] - a["y"]) for a, b in zip(ring, ring[1:] + ring[:1]))
+
+
+@pytest.mark.parametrize("sites", ["clustered", "even", "grid"])
+def test_cells_tile_the_frame(spark, sites):
+    r = np.random.default_rng(1)
+    rows = {"clustered": [(i, x, y) for i, x, y in clustered(400)], "even": [(i - 200, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 100, (400, 2)))], "grid": [(i, float(i % 12), float(i // 12)) for i in range(144)]}[sites]
+    if sites == "clustered":
+        rows = [(i, x, y) if abs(x - 77) > 1 or abs(y - 77) > 1 else (i, 77 + (x - 77) * 1e3, 77 + (y - 77) * 1e3) for i, x, y in rows]
+    got = voronoi.voronoi(spark.createDataFrame(rows, "id long, x double, y double").withColumn("ring", F.lit("clash")), bound=32).collect()
+    assert sorted(g.id for g in got) == sorted(i for i, _, _ in rows)
+    xs, ys = [x for _, x, _ in rows], [y for _, _, y in rows]
+    assert sum(area(g.ring) for g in got) == pytest.approx((max(xs) - min(xs)) * (max(ys) - min(ys)), rel=1e-7)
+    assert all(inside(g.ring, g.x, g.y) for g in got)
+    cells = {g.id: g.ring for g in got}
+    for x, y in zip(r.uniform(min(xs), max(xs), 300), r.uniform(min(ys), max(ys), 300)):
+        d = sorted((math.hypot(x - p, y - q), i) for i, p, q in rows)
+        if d[1][0] - d[0][0] > 1e-4:
+            assert inside(cells[d[0][1]], x, y)
+    # every inner edge is there once in each direction, bit by bit
+    edges = {}
+    for ring in cells.values():
+        for a, b in zip(ring, ring[1:] + ring[:1]):
+            edges[(a["x"], a["y"]), (b["x"], b["y"])] = edges.get(((a["x"], a["y"]), (b["x"], b["y"])), 0) + 1
+    rim = lambda a, b: any(abs(a[k] - v) < 1e-5 and abs(b[k] - v) < 1e-5 for k, v in ((0, min(xs)), (0, max(xs)), (1, min(ys)), (1, max(ys))))
+    assert all(n == 1 and ((b, a) in edges or rim(a, b)) for (a, b), n in edges.items())
+
+
+def test_cells_within_parts_and_radius(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 100, (120, 2)))]
+    left, right = [(0.0, 0.0), (40.0, 0.0), (60.0, 100.0), (0.0, 100.0)], [(40.0, 0.0), (100.0, 0.0), (100.0, 100.0), (60.0, 100.0)]
+    got = voronoi.voronoi(spark.createDataFrame(rows, "id long, x double, y double"), (0.0, 0.0, 100.0, 100.0), [left, right], 9.0, bound=16).collect()
+    probes = r.uniform(0, 100, (1500, 2))
+    for x, y in probes:
+        d = sorted((math.hypot(x - p, y - q), i) for i, p, q in rows)
+        if d[1][0] - d[0][0] < 1e-4 or abs(d[0][0] - 9) < 0.02 or abs((x - 40) * 100 - y * 20) < 1e-6:
+            continue
+        part = 0 if (x - 40) * 100 < y * 20 else 1
+        want = [(d[0][1], part)] if d[0][0] < 9 else []
+        assert [(g.id, g.part) for g in got if inside(g.ring, x, y)] == want
+    assert voronoi.voronoi(spark.createDataFrame([], "id long, x double, y double")).count() == 0
+    alone = voronoi.voronoi(spark.createDataFrame([(7, 1.0, 2.0)], "id long, x double, y double"), (0.0, 0.0, 4.0, 4.0), radius=1.0).collect()
+    assert len(alone) == 1 and len(alone[0].ring) == 64 and area(alone[0].ring) == pytest.approx(math.pi, rel=0.01)
