@@ -72,13 +72,25 @@ def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
     return F.hypot(x - ax - t * dx, y - ay - t * dy)
 
 
-def ring_distance(x: Column, y: Column, ring: Column) -> Column:
-    """From a point to a polygon (array of struct x, y, closed or not): 0 inside."""
+def _edges(ring: Column) -> Column:
     n = F.size(ring)
-    edge = F.transform(ring, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.element_at(ring, (i + 1) % n + 1)["x"].alias("bx"), F.element_at(ring, (i + 1) % n + 1)["y"].alias("by")))
+    return F.transform(ring, lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.element_at(ring, (i + 1) % n + 1)["x"].alias("bx"), F.element_at(ring, (i + 1) % n + 1)["y"].alias("by")))
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies in a polygon (array of struct x, y, closed or not)."""
     crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"])
-    inside = F.size(F.filter(edge, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(edge, lambda e: segment_distance(x, y, e["ax"], e["ay"], e["bx"], e["by"]))))
+    return F.size(F.filter(_edges(ring), lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+
+
+def ring_area(ring: Column) -> Column:
+    """The area within a ring, negative if it runs clockwise."""
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda a, e: a + (e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
+
+
+def ring_distance(x: Column, y: Column, ring: Column) -> Column:
+    """From a point to a polygon (array of struct x, y, closed or not): 0 inside."""
+    return F.when(in_ring(x, y, ring), F.lit(0.0)).otherwise(F.array_min(F.transform(_edges(ring), lambda e: segment_distance(x, y, e["ax"], e["ay"], e["bx"], e["by"]))))
 
 
 def scale_04(pressure: Column, cuts: tuple[float, float, float]) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.operators import nearest, quadtree, voronoi
+from meterline.operators import coverage, nearest, quadtree, segments, voronoi
 
 
 def clustered(n, seed=3):
@@ -104,3 +104,123 @@ def test_cells_within_parts_and_radius(spark):
     assert voronoi.voronoi(spark.createDataFrame([], "id long, x double, y double")).count() == 0
     alone = voronoi.voronoi(spark.createDataFrame([(7, 1.0, 2.0)], "id long, x double, y double"), (0.0, 0.0, 4.0, 4.0), radius=1.0).collect()
     assert len(alone) == 1 and len(alone[0].ring) == 64 and area(alone[0].ring) == pytest.approx(math.pi, rel=0.01)
+
+
+# ---- coverages ----
+
+def squares(spark, rows):
+    """rows: id, key, column, row of unit squares."""
+    ring = lambda x, y: [[{"x": float(x), "y": float(y)}, {"x": x + 1.0, "y": float(y)}, {"x": x + 1.0, "y": y + 1.0}, {"x": float(x), "y": y + 1.0}]]
+    return spark.createDataFrame([(i, k, ring(x, y)) for i, k, x, y in rows], "id long, key string, rings array<array<struct<x:double,y:double>>>")
+
+
+def flood(cells):
+    left, parts = set(cells), []
+    while left:
+        todo, part = [left.pop()], set()
+        while todo:
+            x, y = todo.pop()
+            part.add((x, y))
+            for n in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+        parts.append(part)
+    return parts
+
+
+def euler(part):
+    shared = sum((x + 1, y) in part for x, y in part) + sum((x, y + 1) in part for x, y in part)
+    full = sum({(x, y), (x + 1, y), (x, y + 1), (x + 1, y + 1)} <= part for x, y in part)
+    return len(part) - shared + full
+
+
+def test_components_of_long_paths(spark):
+    r = np.random.default_rng(2)
+    names = r.permutation(300)
+    links = [(int(names[i]), int(names[i + 1])) for i in range(299) if i % 100 != 99] + [(5000, 5001), (5001, 5000), (7, 7)]
+    got = {x.id: x.label for x in coverage.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    for k in range(3):
+        ids = [int(n) for n in names[100 * k : 100 * k + 100]]
+        assert {got[i] for i in ids} == {min(ids)}
+    assert got[5000] == got[5001] == 5000 and coverage.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dissolve_equals_flood_fill(spark):
+    r = np.random.default_rng(11)
+    cells = [(x, y) for x in range(14) for y in range(14)]
+    rows = [(i, ["a", "b", None][int(r.integers(0, 8)) // 4 if i % 9 else 2], x, y) for i, (x, y) in enumerate(cells)]
+    df = squares(spark, rows + rows[:5]).unionByName(spark.createDataFrame([(900, "a", None), (901, "a", []), (902, "z", [[]])], "id long, key string, rings array<array<struct<x:double,y:double>>>"))
+    got = coverage.dissolve(df).collect()
+    want = []
+    for key in ("a", "b", None):
+        for part in flood([(x, y) for _, k, x, y in rows if k == key]):
+            want.append((str(key), min(i for i, _, x, y in rows if (x, y) in part), float(len(part)), 1 - euler(part)))
+    assert sorted((str(g.key), g.part, g.area, len(g.rings) - 1) for g in got) == sorted(want)
+    assert all(area(g.rings[0]) > 0 and all(area(h) < 0 for h in g.rings[1:]) for g in got)
+    assert coverage.dissolve(df.limit(0)).count() == 0
+
+
+def proper_cross(p, q, r, s):
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    return side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0
+
+
+def test_simplified_zones_still_tile(spark):
+    """Voronoi cells of three mixed keys: areas add up, common borders stay common, nothing crosses, fewer corners."""
+    r = np.random.default_rng(6)
+    sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 100, (150, 2)))]
+    cells = voronoi.voronoi(spark.createDataFrame(sites, "id long, x double, y double"), (0.0, 0.0, 100.0, 100.0))
+    polygons = cells.select("id", (F.col("x") / 34).cast("int").alias("key"), F.array("ring").alias("rings"))
+    zones = coverage.dissolve(polygons).select(F.col("part").alias("zone"), "key", "rings", "area").persist()
+    assert zones.agg(F.sum("area")).first()[0] == pytest.approx(1e4, rel=1e-6)
+    for tolerance in (0.5, 6.0):
+        got = coverage.simplify(zones.withColumn("area", F.lit("clash")), tolerance).collect()
+        assert len(got) == zones.count() and sum(g.area for g in got) == pytest.approx(1e4, rel=1e-6)
+        edges = [((a["x"], a["y"]), (b["x"], b["y"])) for g in got for ring in g.rings for a, b in zip(ring, ring[1:] + ring[:1])]
+        rim = lambda a, b: any(a[k] == v and b[k] == v for k in (0, 1) for v in (0.0, 100.0))
+        assert len(set(edges)) == len(edges) and all((b, a) in set(edges) or rim(a, b) for a, b in edges)
+        assert not any(proper_cross(*e, *f) for i, e in enumerate(edges) for f in edges[:i])
+        assert len(edges) < sum(len(ring) for z in zones.collect() for ring in z.rings)
+
+
+def test_line_without_small_corners():
+    line = [(0.0, 0.0), (1.0, 0.01), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0), (4.0, 4.0)]
+    assert coverage.visvalingam(line, 0.5) == [(0.0, 0.0), (2.0, 0.0), (3.0, 5.0), (4.0, 0.0), (4.0, 4.0)]
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    assert len(coverage.visvalingam(ring, 1e9)) == 4
+
+
+# ---- segments ----
+
+def test_crossings_and_distances_equal_all_pairs(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, *map(float, r.integers(0, 40, 2)), *map(float, r.integers(0, 40, 2))) for i in range(120)]
+    rows += [(200, 0.0, 0.0, 40.0, 0.0), (201, 10.0, 0.0, 20.0, 0.0), (202, 5.0, 5.0, 5.0, 5.0), (203, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "name long, ax double, ay double, bx double, by double")
+    got = {(g.l_name, g.r_name): (g.x, g.y) for g in segments.crossing(df, df, 7.0).collect()}
+    gaps = {(g.l_name, g.r_name): g.distance for g in segments.near(df, df, 3.0, 5.0).collect()}
+
+    def point_gap(p, a, b):
+        d = (b[0] - a[0], b[1] - a[1])
+        n = d[0] ** 2 + d[1] ** 2
+        t = max(0.0, min(1.0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n)) if n else 0.0
+        return math.hypot(p[0] - a[0] - t * d[0], p[1] - a[1] - t * d[1])
+
+    for i, ax, ay, bx, by in rows[:-1]:
+        for j, cx, cy, dx, dy in rows[:-1]:
+            a, b, c, d = (ax, ay), (bx, by), (cx, cy), (dx, dy)
+            gap = 0.0 if proper_cross(a, b, c, d) else min(point_gap(a, c, d), point_gap(b, c, d), point_gap(c, a, b), point_gap(d, a, b))
+            assert ((i, j) in gaps) == (gap <= 3) and (gap > 3 or gaps[i, j] == pytest.approx(gap, abs=1e-9))
+            if gap == 0:
+                assert point_gap(got[i, j], a, b) < 1e-9 and point_gap(got[i, j], c, d) < 1e-9
+            elif gap > 1e-9:
+                assert (i, j) not in got
+    assert got[200, 201] == (15.0, 0.0)
+
+
+def test_crossings_of_named_lines(spark):
+    lines = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0), ("a", 10.0, 0.0, 20.0, 0.0), ("b", 10.0, -5.0, 10.0, 5.0), ("b", 10.0, 5.0, 18.0, -3.0), ("c", 0.0, 9.0, 20.0, 9.0)], "name string, ax double, ay double, bx double, by double")
+    wanted = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("x", "a"), ("a", "a")], "first string, second string")
+    got = {(g.first, g.second): (g.x, g.y, g.n) for g in segments.crossings_of_lines(lines, wanted).collect()}
+    assert got == {("a", "b"): (12.5, 0.0, 2), ("a", "c"): (None, None, 0), ("x", "a"): (None, None, 0), ("a", "a"): (None, None, 0)}
