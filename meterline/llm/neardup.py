@@ -29,7 +29,7 @@ SAMPLES, SKETCH_BITS = 280, 1024
 PARITY_BITS = 4096
 #: A sketch estimate this far below the threshold (about five standard errors) rejects a pair unseen.
 MARGIN = 0.13
-#: Centres of an unresolved bucket in each round; in the last, all of its members, so no link is missed for want of a centre.
+#: Centres of an unresolved bucket in each round; in the last, all members outside its largest component, so no link is missed.
 CENTRES = (1, 16, None)
 #: Members of an unresolved bucket that one task compares with as many others; a larger bucket is dealt by parts on both sides.
 PART_ROWS = 1024
@@ -191,13 +191,35 @@ def _close(a: str, b: str, percent: int) -> Column:
     return sized & sketched & bounded
 
 
+def open_rows(named: DataFrame, classes: DataFrame, centres: int | None) -> DataFrame:
+    """The members (no, band, size, node, label) of buckets in which several components meet, with their sketches, and `chosen`:
+    the bucket's centres of this round. Without a number of centres they are all members outside the bucket's largest component:
+    two members inside it need no comparison, so a bucket of N costs N times those outside."""
+    labels = named.groupBy("band", "label").agg(F.count("*").alias("c"))
+    split = labels.groupBy("band").agg(F.count("*").alias("labels"), F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("top")).where("labels > 1")
+    outside = F.lit(1) if centres is not None else F.ceil((F.col("members") - F.col("most")) / PART_ROWS)
+    split = split.select("band", "top", F.ceil(F.col("members") / PART_ROWS).alias("parts"), outside.cast("bigint").alias("outside"))
+    chosen = F.col("label") != F.col("top") if centres is None else F.pmod(F.xxhash64("node", "band"), F.col("size")) < centres
+    return named.join(split, "band").join(classes.select("node", "n", "bands", "sketch", "parity"), "node").withColumn("chosen", chosen)
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open rows as two sides, members and centres, that meet once by (band, part_a, part_b): each part of the members meets each
+    part of the centres in one place."""
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    o = rows.select("no", "band", mine("parts").alias("part_a"), every("outside").alias("part_b"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bands", "sketch", "parity", "chosen")])
+    c = rows.where("chosen").select("band", every("parts").alias("part_a"), mine("outside").alias("part_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bands", "sketch", "parity")])
+    return o, c
+
+
 def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """df with `n_shingles`, `component_id` (the smallest id of all that links lead to) and `kept` (the row has that id).
 
     A link: Jaccard similarity of the sets of `shingle`-word shingles is `percent` / 100 at least. Of pairs at exactly 0.8
     one in 70,000 shares no band (fewer above); pairs that do are compared unless other links already join them, in rounds
-    of more centres, in the last of which all members of a bucket are centres, so nothing is capped. Large buckets are dealt by
-    parts of both sides. The odd sketch rejects a pair whose estimate lies MARGIN below the threshold (none of 6,000 such pairs
+    of more centres, in the last of which all members outside a bucket's largest component are centres, so nothing is capped.
+    Large buckets are dealt by parts of both sides. The odd sketch rejects a pair whose estimate lies MARGIN below the threshold (none of 6,000 such pairs
     in the tests).
 
     Null and empty texts, and those without words, link with nothing and are kept; a null id joins groups but never names one
@@ -234,17 +256,10 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", s
             else:
                 named = bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             named = named.where("size > 2")  # pairs are settled by the first round
-            split = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.ceil(F.count("*") / PART_ROWS).alias("parts")).where("l0 <> l1").select("band", "parts")
-            rows = named.join(split, "band").join(classes.select("node", "n", "bands", "sketch", "parity"), "node")
-            chosen = F.lit(True) if centres is None else F.pmod(F.xxhash64("node", "band"), F.col("size")) < centres
-            own = F.pmod(F.xxhash64("node"), F.col("parts"))
-            rows = stage(rows.withColumns({"chosen": chosen, "own": own}), "open-rows")
+            rows = stage(open_rows(named, classes, centres), "open-rows")
             if not rows.head(1):
                 break
-            # each pair of parts meets in one place; centres are few, so they are one part that meets all
-            every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
-            o = rows.select("no", "band", F.col("own").alias("part_a"), (every if centres is None else F.lit(0).cast("bigint")).alias("part_b"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "bands", "sketch", "parity", "chosen")])
-            c = rows.where("chosen").select("band", every.alias("part_a"), (F.col("own") if centres is None else F.lit(0).cast("bigint")).alias("part_b"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "bands", "sketch", "parity")])
+            o, c = dealt(rows)
             # only close pairs of different components leave the join, each from the first band that it shares
             once = (F.col("label_a") != F.col("label_b")) & (~F.col("chosen_a") | (F.col("node_a") < F.col("node_b")))
             here = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("no") + 1

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.llm import common, runs, topk, whitening
+from meterline.llm import common, neardup, runs, topk, whitening
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -202,3 +202,21 @@ def test_runs_of_documents(spark):
     alone = runs.find_runs(df, plant=None).where("doc_id = 6").first()
     assert alone.runs == [(0, 8, 2)] and bytes(alone.collapsed) == b"a b" and alone.start == 1
     assert runs.find_runs(df.withColumn("doc_id", F.lit(None).cast("long")), plant="doc_id").where("size(runs) > 0").count() > 3
+
+
+# ---- 2, its last round ----
+
+def test_a_component_is_not_compared_with_itself(spark):
+    """A bucket of 20,000 linked members and two strangers: pairs with a stranger alone are made, each once, in parts."""
+    n = 20_000
+    named = spark.range(n + 2).select(F.lit(0).alias("no"), F.lit(9).cast("long").alias("band"), F.lit(n + 2).cast("long").alias("size"), F.col("id").alias("node"), F.greatest(F.col("id") - n + 1, F.lit(0)).alias("label"))
+    alone = spark.range(3).select(F.lit(0).alias("no"), F.lit(8).cast("long").alias("band"), F.lit(3).cast("long").alias("size"), F.col("id").alias("node"), F.lit(5).cast("long").alias("label"))
+    empty = F.array().cast("array<bigint>")
+    classes = spark.range(n + 2).select(F.col("id").alias("node"), F.lit(1).alias("n"), empty.alias("bands"), empty.alias("sketch"), empty.alias("parity"))
+    rows = neardup.open_rows(named.unionByName(alone), classes, None).persist()
+    assert rows.count() == n + 2 and rows.where("chosen").count() == 2
+    o, c = neardup.dealt(rows)
+    met = o.join(c, ["band", "part_a", "part_b"]).select("node_a", "node_b").persist()
+    assert o.count() == n + 2 and met.count() == 2 * (n + 2) and met.distinct().count() == 2 * (n + 2)
+    few, centres = neardup.dealt(neardup.open_rows(named, classes, 16).persist())
+    assert few.count() == n + 2 and few.join(centres, ["band", "part_a", "part_b"]).count() == (n + 2) * centres.select("node_b").distinct().count()
