@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import quadtree
+from . import coverage, quadtree, segments
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -48,22 +48,49 @@ def nearest_or_new(left: DataFrame, right: DataFrame, radius: float) -> DataFram
     return left.select("id").join(best, "id", "left").withColumn("new", F.col("rid").isNull())
 
 
+def _whole(zones: DataFrame) -> DataFrame:
+    """zone, rings: a zone given by one `ring` has just that."""
+    rings = F.col("rings") if "rings" in zones.columns else F.array("ring")
+    return zones.select("zone", rings.alias("rings"))
+
+
+def zones_at(places: DataFrame, zones: DataFrame) -> DataFrame:
+    """places (x, y and any columns) with the `zone` they lie in: polygons of several parts and with holes, all rings in `rings`.
+
+    A zone is registered in the grid cells of its box; cells are as wide as the mean box, so a zone comes into few of them. A
+    place in no zone has no row, one in several zones (they overlap) a row for each; a place on a border lies on one side of it.
+    """
+    low = lambda c: F.array_min(F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[c]))))
+    high = lambda c: F.array_max(F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p[c]))))
+    boxed = _whole(zones).withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")}).where("x0 is not null")
+    size = boxed.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    tiled = boxed.withColumn("cx", F.explode(F.sequence(_cell(F.col("x0"), size), _cell(F.col("x1"), size)))).withColumn("cy", F.explode(F.sequence(_cell(F.col("y0"), size), _cell(F.col("y1"), size))))
+    at = places.where(quadtree.real("x", "y")).drop("zone", "cx", "cy").withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+    met = at.join(tiled, ["cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    inside = F.size(F.filter("rings", lambda r: geo.in_ring(F.col("x"), F.col("y"), r))) % 2 == 1
+    return met.where(inside).drop("cx", "cy", "rings", "x0", "x1", "y0", "y1")
+
+
+def touching(zones: DataFrame, others: DataFrame, touch: float) -> DataFrame:
+    """zone, near: zones whose borders come within `touch` of another zone's border, by their edges, not their corners alone."""
+    a, b = (coverage.edges_of(_whole(z), "zone") for z in (zones, others))
+    return segments.near(a, b, touch).where("l_zone <> r_zone").select(F.col("l_zone").alias("zone"), F.col("r_zone").alias("near")).distinct()
+
+
 def reach(meters: DataFrame, zones: DataFrame, radius: float = 500.0, touch: float = 1.0) -> DataFrame:
     """(meter, zone, distance, origin): zones whose polygon lies within `radius` of a meter.
 
-    meters: meter, x, y, zone; zones: zone, ring (array of struct x, y). A zone is registered in every grid cell its box
-    touches, so located meters meet only nearby zones. A meter without a place has its own zone and those that touch it.
+    meters: meter, x, y, zone; zones: zone and ring (array of struct x, y) or rings (several parts, holes). Zones' edges and meters
+    meet in grid cells, so a meter is measured against nearby edges only; a meter inside a zone is at distance 0. A meter
+    without a place has its own zone, also one without a polygon, and those that touch it; without a zone either it has none.
     """
-    bound = lambda f, c: f(F.transform("ring", lambda p: p[c]))
-    span = lambda c, pad: F.sequence(_cell(bound(F.array_min, c) - pad, radius), _cell(bound(F.array_max, c) + pad, radius))
-    tiled = zones.withColumns({"cx": F.explode(span("x", radius))}).withColumn("cy", F.explode(span("y", radius))).withColumnRenamed("zone", "near")
-    placed = meters.where("x is not null and y is not null").withColumns({"cx": _cell(F.col("x"), radius), "cy": _cell(F.col("y"), radius)})
-    by_place = placed.select("meter", "x", "y", "cx", "cy").join(tiled, ["cx", "cy"]).withColumn("distance", geo.ring_distance(F.col("x"), F.col("y"), F.col("ring")))
-    by_place = by_place.where(F.col("distance") <= radius).select("meter", F.col("near").alias("zone"), F.round("distance", 1).alias("distance"), F.lit("radius").alias("origin"))
-    lost = meters.where("(x is null or y is null) and zone is not null").select("meter", "zone")
-    corner = zones.select("zone", F.explode("ring").alias("p")).withColumns({"cx": _cell(F.col("p.x"), radius), "cy": _cell(F.col("p.y"), radius)})
-    near = corner.join(tiled.select("near", "ring", "cx", "cy"), ["cx", "cy"]).where((F.col("zone") != F.col("near")) & (geo.ring_distance(F.col("p.x"), F.col("p.y"), F.col("ring")) <= touch)).select("zone", "near").distinct()
-    near = near.unionByName(near.select(F.col("near").alias("zone"), F.col("zone").alias("near"))).distinct()
+    whole = _whole(zones)
+    placed = meters.where(quadtree.real("x", "y")).select("meter", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    points = placed.select("meter", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    by_edge = segments.near(points, coverage.edges_of(whole, "zone"), radius, radius).select(F.col("l_meter").alias("meter"), F.col("r_zone").alias("zone"), "distance")
+    by_place = by_edge.unionByName(zones_at(placed, whole).select("meter", "zone", F.lit(0.0).alias("distance"))).groupBy("meter", "zone").agg(F.round(F.min("distance"), 1).alias("distance")).withColumn("origin", F.lit("radius"))
+    lost = meters.where(~quadtree.real("x", "y") & F.col("zone").isNotNull()).select("meter", "zone")
+    near = touching(whole.join(lost.select("zone").distinct(), "zone", "left_semi"), whole, touch)
     by_zone = lost.unionByName(lost.join(near, "zone").select("meter", F.col("near").alias("zone"))).select("meter", "zone", F.lit(None).cast("double").alias("distance"), F.lit("own or adjacent zone").alias("origin"))
     return by_place.unionByName(by_zone).groupBy("meter", "zone").agg(F.min("distance").alias("distance"), F.min_by("origin", F.coalesce("distance", F.lit(float("inf")))).alias("origin"))
 

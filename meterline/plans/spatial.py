@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import coverage, segments, voronoi
+from ..operators import coverage, nearest, segments, voronoi
 from .queries import query, table, vectors
 
 # Vectors lie in districts of 500 side by side, so that the places of a district are as dense in a large table as in a small one.
@@ -151,3 +151,36 @@ def line_crossings(spark, d):
     lines = places(spark, d).select(name.alias("name"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("u") / 5).alias("bx"), (F.col("y") + F.col("v") / 5).alias("by"))
     wanted = lines.select(F.col("name").alias("first"), (F.col("name") + 1).alias("second"))
     return segments.crossings_of_lines(lines, wanted).select("first", "second", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "n")
+
+
+_REACH = f"""
+with recursive {_SQUARES},
+r as (
+  select cx, cy, cx as ox, cy as oy, key from sq
+  union
+  select sq.cx, sq.cy, ox, oy, key from r join sq using (key) where abs(sq.cx - r.cx) + abs(sq.cy - r.cy) = 1
+),
+parts as (select key, cx, cy, min((ox + 1000) * 1000 + oy + 500) as zone from r group by all),
+m as (select id, id // 500 * 300 + u as mx, v as my, x, y from pts),
+d as (
+  select id as meter, zone, round(min(sqrt(greatest(cx * 4 - mx, mx - cx * 4 - 4, 0) ** 2 + greatest(cy * 4 - my, my - cy * 4 - 4, 0) ** 2)), 1) as distance
+  from m join parts on abs(cx * 4 + 2 - mx) < 9 and abs(cy * 4 + 2 - my) < 9
+  where id % 3 <> 0 and sqrt(greatest(cx * 4 - mx, mx - cx * 4 - 4, 0) ** 2 + greatest(cy * 4 - my, my - cy * 4 - 4, 0) ** 2) <= 6 group by all
+),
+own as (select id as meter, zone from m join parts on cx = floor(x / 4) and cy = floor(y / 4) where id % 3 = 0),
+beside as (select distinct a.zone, b.zone as near from parts a join parts b on abs(a.cx - b.cx) <= 1 and abs(a.cy - b.cy) <= 1)
+select meter, zone, distance, 'radius' as origin from d
+union all
+select distinct meter, near, cast(null as double), 'own or adjacent zone' from own join beside using (zone)
+"""
+
+
+@query("zone_reach", _REACH)
+def zone_reach(spark, d):
+    """Zones within 6 of a meter; a third of the meters has no place, only the zone it stands in."""
+    p = places(spark, d)
+    zones = coverage.dissolve(square_zones(spark, d)).select(F.col("part").alias("zone"), "rings")
+    meters = p.where("id % 3 <> 0").select(F.col("id").alias("meter"), (F.floor(F.col("id") / 500) * 300 + F.col("u")).alias("x"), F.col("v").alias("y"), F.lit(None).cast("long").alias("zone"))
+    known = nearest.zones_at(p.where("id % 3 = 0").select(F.col("id").alias("meter"), "x", "y"), zones)
+    lost = known.select("meter", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "zone")
+    return nearest.reach(meters.unionByName(lost), zones, 6.0)
