@@ -536,10 +536,25 @@ def grid_positions(spark, d):
     return grid.select("event_id", F.round(back[0], 6).alias("lat"), F.round(back[1], 6).alias("lon"))
 
 
-@query("georeference")
+_GEOREFERENCE = """
+with p as (
+  select s_suppkey as point_id, s_suppkey * 3.0 as px, s_suppkey % 7 * 5.0 as py, 5600000 + s_suppkey * 6.0 + s_acctbal / 1e4 as x, 7400000 - s_suppkey % 7 * 9.0 as y
+  from supplier
+),
+m as (select count(*) as n, avg(px) as mu, avg(py) as mv, avg(x) as mx, avg(y) as my from p),
+c as (select point_id, n, cast(px - mu as double) as u, cast(py - mv as double) as v, cast(x - mx as double) as x, cast(y - my as double) as y from p, m),
+k as (select sum(u * v) / sum(u * u) as k from c),
+w as (select point_id, n, u, v - k * u as w, x, y from c, k),
+s as (select sum(u * u) as uu, sum(w * w) as ww, sum(u * x) as ux, sum(u * y) as uy, sum(w * x) as wx, sum(w * y) as wy from w),
+r as (select point_id, sqrt((ux / uu * u + wx / ww * w - x) ** 2 + (uy / uu * u + wy / ww * w - y) ** 2) as residual, 1 - 1.0 / n - u * u / uu - w * w / ww as free from w, s)
+select cast(point_id as bigint) as point_id, round(residual, 6) as residual, round(case when free > 1e-9 then residual / free end, 6) as left_out from r
+"""
+
+
+@query("georeference", _GEOREFERENCE)
 def georeference(spark, d):
-    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 3.0).alias("px"), (F.col("s_suppkey") % 7 * 5.0).alias("py"), (F.col("s_suppkey") * 6.0 + F.col("s_acctbal") / 1e4).alias("x"), (F.col("s_suppkey") % 7 * -9.0).alias("y"))
-    return georef.residuals(p)
+    p = table(spark, d, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") * 3.0).alias("px"), (F.col("s_suppkey") % 7 * 5.0).alias("py"), (5600000 + F.col("s_suppkey") * 6.0 + F.col("s_acctbal").cast("double") / 1e4).alias("x"), (7400000 - F.col("s_suppkey") % 7 * 9.0).alias("y"))
+    return georef.residuals(p).select("point_id", F.round("residual", 6).alias("residual"), F.round("left_out", 6).alias("left_out"))
 
 
 @query("ocr_labels", "select p_partkey, case when length(t) between 2 and 4 and regexp_full_match(t[1:-2], '[0-9]{1,3}') and t[-1:] in ('B', '8') and cast(t[1:-2] as int) between 1 and 440 then cast(t[1:-2] as int) end as number from (select p_partkey, p_size * 11 || case when p_partkey % 4 = 0 then ' 8' when p_partkey % 4 = 1 then 'b' when p_partkey % 4 = 2 then 'A' else 'B' end as raw, upper(replace(raw, ' ', '')) as t from part)")

@@ -47,9 +47,9 @@ def test_every_supplier_is_a_point(spark):
     d = "/root/testdata/sf0.01"
     got = {r.point_id: (r.residual, r.left_out) for r in __spark_entry__.queries()["georeference"](spark, d).collect()}
     s = [(r.s_suppkey, r.s_acctbal) for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
-    want = left_out([(k * 3.0, k % 7 * 5.0, k * 6.0 + a / 1e4, k % 7 * -9.0) for k, a in s], "affine")
+    want = left_out([(k * 3.0, k % 7 * 5.0, k * 6.0 + a / 1e4, k % 7 * -9.0) for k, a in s], "affine")  # far from the origin in the query
     assert len(got) == len(s) > 60
-    assert [got[k] for k, _ in s] == [pytest.approx(x, rel=1e-5) for x in want]
+    assert [got[k] for k, _ in s] == [pytest.approx(x, rel=1e-5, abs=1e-6) for x in want]
 
 
 def test_every_reading_is_settled(spark, monkeypatch):
@@ -69,3 +69,17 @@ def test_nearest_place_however_far(spark):
     got = {r.id: (r.rid, r.distance) for r in nearest.nearest(a, b).collect()}
     assert got == {1: (7, 3.0), 2: (7, 699997.0), 3: (None, None), 4: (None, None), 5: (7, pytest.approx(math.hypot(3e6 - 3, 4e6)))}
     assert [r.rid for r in nearest.nearest(a, b.limit(0)).collect()] == [None] * 5
+
+
+@pytest.mark.parametrize("kind", ["affine", "similarity"])
+def test_fit_far_from_the_origin(spark, kind):
+    """Grid coordinates of millions of metres, points a few metres apart."""
+    r = np.random.default_rng(3)
+    u, v = r.uniform(0, 9, (2, 40))
+    x, y = 5_600_000 + 0.4 * u + 0.3 * v, 7_400_000 + 0.3 * u - 0.4 * v
+    m = georef.fit(spark.createDataFrame([tuple(map(float, t)) for t in zip(u + 1e6, v + 2e6, x, y)], "px double, py double, x double, y double"), kind)
+    assert m[:2] == pytest.approx(np.array([[0.4, 0.3], [0.3, -0.4]]), abs=1e-7)
+    line = spark.createDataFrame([(float(i), 2.0 * i, 1.0 * i, 0.0) for i in range(5)], "px double, py double, x double, y double")
+    if kind == "affine":
+        with pytest.raises(ValueError, match="line"):
+            georef.fit(line)
