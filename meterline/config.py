@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class City:
-    """What tells one city's transactions from the others'."""
+    """What tells one city's transactions from the others'. Names, prefixes, patterns and letters are those of the data."""
 
     country: str = "POLAND"
     postal_prefixes: tuple[str, ...] = ("90", "91", "92", "93", "94")
@@ -16,6 +16,10 @@ class City:
     resident_area: str | None = "LODZ"
     foreign_parking: str | None = None
     time_zone: str = "Europe/Warsaw"
+    #: Letters at the end of a meter's id, and the subzone of today's division that each stands for.
+    subzones: dict[str, str] = field(default_factory=lambda: {"A": "A", "B": "B", "C": "B", "D": "C"})
+    #: Letters that name a subzone of the earlier division.
+    earlier_subzones: tuple[str, ...] = ("A", "B", "C", "D")
 
 
 LODZ = City()
@@ -37,17 +41,22 @@ class Period:
     season: bool = True
 
 
+#: Fixed value: the factor in the amounts of the card data that the engine is made for.
+SCALED_AMOUNTS = 0.92
+
+
 @dataclass(frozen=True)
 class Settings:
     city: City = LODZ
     min_cards: int = 30
     hub_merchants: int = 400
-    #: Amounts are divided by this. A data owner may scale amounts on purpose, so 1 is the default.
+    #: Amounts are divided by this: 1 where they are as paid, SCALED_AMOUNTS where their owner has scaled them.
     amount_scale: float = 1.0
     gap_minutes: int = 90
     payment_minutes: int = 180
     regular_days: int = 3
     regular_minutes: int = 240
+    # Codes, names and bounds of the data and of the policy, from here to the levels.
     parking_mcc: int = 7523
     excluded_mcc: tuple[int, ...] = (7523, 4111, 4784)
     fuel_mcc: tuple[int, ...] = (5541, 5542)

@@ -32,7 +32,7 @@ def rates(level: Column, shift: Column, policy: Policy, resident: bool = False)
     for x in policy.levels:
         one = F.struct(
             F.least(F.lit(x.free_minutes) + F.coalesce(shift, F.lit(0)), F.lit(policy.longest_first)).cast("int").alias("first_minutes"),
-            *[F.lit(round(v * base, 2)).alias(n) for n, v in (("first", x.first),)],
+            F.lit(round(x.first * base, 2)).alias("first"),
             F.lit(x.flat).alias("flat"),
             F.lit(round(x.then * base, 2)).alias("then"),
             F.lit(round(x.after * base, 2)).alias("after"),

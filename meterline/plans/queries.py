@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Policy
+from ..config import SCALED_AMOUNTS, Policy
 from ..functions import calendar, geo, money, text
 from ..operators import clean, decisions, georef, layers, levels, metrics, nearest, parking, visits
 from ..sources.tables import Reference
@@ -155,6 +155,24 @@ def payments(spark, d):
     return paid(spark, d).select("txn_id", "meter", "subzone", "old_subzone", "subzone_from", "meter_zone", "resident", F.round("amount", 2).alias("amount"), "minutes")
 
 
+_PAID = "select txn_id, meter, resident, round(amount, 2) as amount, minutes from paid"
+
+
+@query("scaled_payments", td.sql(_PAID, "paid").replace("round(cast(cs_tran_amt as double), 2)", "round(cast(cs_tran_amt as double) / 0.92, 2)"))
+def scaled_payments(spark, d):
+    """Payments whose amounts their owner has scaled: amounts and minutes as paid."""
+    r = ref(spark)
+    return parking.payments(tx(spark, d), r.tariff, replace(S, amount_scale=SCALED_AMOUNTS), r.meters).select("txn_id", "meter", "resident", F.round("amount", 2).alias("amount"), "minutes")
+
+
+@query("payments_in_town", td.sql(_PAID, "paid").replace("from tx where mcc = 7523", "from tx where mcc = 7523 and not regexp_matches(upper(coalesce(merchant, '')), 'PARKING [0-9]|LODZ  1[0-9]')"))
+def payments_in_town(spark, d):
+    """Payments without those at operators of other cities, and all others left."""
+    r = ref(spark)
+    elsewhere = replace(S, city=replace(S.city, foreign_parking="PARKING [0-9]|LODZ  1[0-9]"))
+    return parking.payments(tx(spark, d), r.tariff, elsewhere, r.meters).select("txn_id", "meter", "resident", F.round("amount", 2).alias("amount"), "minutes")
+
+
 @query("payment_reach", "select card, cast(day as varchar) as day, zone, cast(paid_ts as varchar) as paid_ts from pay", "pay")
 def payment_reach(spark, d):
     p = parking.reached(paid(spark, d), ref(spark).reach)
@@ -469,15 +487,39 @@ def numbers_audit(spark, d):
     return layers.numbers_audit(table(spark, d, "part").select((F.col("p_size") * 9).cast("int").alias("number")))
 
 
-_READ = "select cast(p_partkey % 700 as bigint) as dot, cast(p_size * 3 + p_partkey % 5 as bigint) as number from part where p_partkey % 700 > 20"
-_HAND = "select i as dot, 1000 + i as number from range(0, 21) r(i)"
+# Dots 1, 2, ... with a number each; every 7th says its neighbour's number, every 11th has two numbers, every 13th was read by hand,
+# and every 17th by hand with the number that OCR gives the next dot.
+_READINGS = """
+with k as (select cast(p_partkey as bigint) as k from part),
+ocr as (
+  select k as dot, case when k % 7 = 0 then k - 1 else k end as number from k
+  union
+  select k, k + 10000000 from k where k % 11 = 0
+),
+hand as (
+  select k as dot, k + 20000000 as number from k where k % 13 = 0 and k % 17 <> 0
+  union
+  select k, k + 1 from k where k % 17 = 0
+),
+free as (select * from ocr where dot not in (select dot from hand) and number not in (select number from hand)),
+counted as (select *, count(*) over (partition by dot) as d, count(*) over (partition by number) as n from free)
+select dot, number, 'ocr' as origin from counted where d = 1 and n = 1
+union all
+select dot, number, 'manual' from hand
+"""
 
 
-@query("settled_readings", f"with r as (select distinct * from ({_READ})), a as (select dot, number, count(*) over (partition by dot) as d, count(*) over (partition by number) as n from r) select dot, number, 'ocr' as origin from a where d = 1 and n = 1 union all select dot, number, 'manual' from ({_HAND})")
+@query("settled_readings", _READINGS)
 def settled_readings(spark, d):
-    p = table(spark, d, "part")
-    ocr = p.select((F.col("p_partkey") % 700).cast("long").alias("dot"), (F.col("p_size") * 3 + F.col("p_partkey") % 5).cast("long").alias("number"), F.lit("ocr").alias("origin"))
-    return layers.settled_readings(ocr.unionByName(spark.range(21).select(F.col("id").alias("dot"), (F.col("id") + 1000).alias("number"), F.lit("manual").alias("origin"))))
+    k = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("dot"))
+    n = F.col("dot")
+    read = [
+        k.select("dot", F.when(n % 7 == 0, n - 1).otherwise(n).alias("number"), F.lit("ocr").alias("origin")),
+        k.where("dot % 11 = 0").select("dot", (n + 10_000_000).alias("number"), F.lit("ocr").alias("origin")),
+        k.where("dot % 13 = 0 and dot % 17 <> 0").select("dot", (n + 20_000_000).alias("number"), F.lit("manual").alias("origin")),
+        k.where("dot % 17 = 0").select("dot", (n + 1).alias("number"), F.lit("manual").alias("origin")),
+    ]
+    return layers.settled_readings(read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3]))
 
 
 @query("display_text", "select l_orderkey, l_linenumber, replace(printf('%.2f', l_discount * 100), '.', ',') || ' zł' as fee, case when m <= 60 then m || ' min' when m % 60 = 0 then (m // 60) || ' h' else (m // 60) || ' h ' || (m % 60) || ' min' end as lasted from (select *, cast(l_quantity * 7 as bigint) as m from lineitem)")

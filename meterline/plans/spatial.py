@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import coverage, nearest, segments, voronoi
+from ..operators import coverage, layers, nearest, segments, voronoi
+from ..shared import shared_dir
+from ..sources import shapefile, sinks
 from .queries import query, table, vectors
 
 # Vectors lie in districts of 500 side by side, so that the places of a district are as dense in a large table as in a small one.
@@ -184,3 +188,36 @@ def zone_reach(spark, d):
     known = nearest.zones_at(p.where("id % 3 = 0").select(F.col("id").alias("meter"), "x", "y"), zones)
     lost = known.select("meter", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "zone")
     return nearest.reach(meters.unionByName(lost), zones, 6.0)
+
+
+# ---- forms of files: written from a table and read back ----
+
+def _new(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("shapes_read_back", f"with {_SQUARES} select key, cast(cx * 4 as double) as xmin, cast(cy * 4 as double) as ymin, cast(16 as double) as area from sq where cx * 4 >= 0 and cy * 4 + 4 < 10")
+def shapes_read_back(spark, d):
+    """Squares as shapefiles; those in a window, chosen by the source."""
+    at = _new(spark, "shapes")
+    shapefile.write_shapes(square_zones(spark, d).select("key", "rings"), at)
+    back = shapefile.read_shapes(spark, at, "key bigint, xmin double, ymin double, ymax double, rings array<array<struct<x: double, y: double>>>").where("xmin >= 0 and ymax < 10")
+    return back.select(F.col("key").cast("int").alias("key"), "xmin", "ymin", geo.ring_area(F.col("rings")[0]).alias("area"))
+
+
+@query("collection_read_back", f"with {_AT} select id, label, round(x, 6) as lon, round(y, 6) as lat from pts")
+def collection_read_back(spark, d):
+    """Places as one GeoJSON collection."""
+    at = _new(spark, "collection") + ".json"
+    sinks.write_geojson(layers.geojson(places(spark, d), layers.point("x", "y"), "id", "label"), at)
+    f = layers.feature_rows(spark.read.schema("features array<struct<properties: struct<id: bigint, label: int>, geometry: struct<coordinates: array<double>>>>").json(at, multiLine=True))
+    return f.select("id", "label", F.col("geometry.coordinates")[0].alias("lon"), F.col("geometry.coordinates")[1].alias("lat"))
+
+
+@query("csv_read_back", "select c_custkey, c_name, c_mktsegment, cast(c_acctbal as double) as c_acctbal from customer")
+def csv_read_back(spark, d):
+    """Customers as CSV with a byte-order mark."""
+    at = _new(spark, "customers") + ".csv"
+    sinks.write_csv(table(spark, d, "customer").select("c_name", "c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal")), at, mark=True)
+    kinds = "c_name string, c_custkey bigint, c_mktsegment string, c_acctbal double"
+    return spark.read.csv(at, header=True, schema=kinds, escape='"').select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
