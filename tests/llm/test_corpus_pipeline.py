@@ -43,3 +43,21 @@ def test_stages_and_run(spark, tmp_path):
     packed = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
     assert packed.count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_odd_documents_go_through(spark, tmp_path):
+    """Nulls in all columns but the id, repeated rows, extra columns with clashing names; then an empty table."""
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", None, 0), (3, "a plain text of some words " * 3, None, "s", None), (3, "a plain text of some words " * 3, None, "s", None), (4, " \t", "de", "s", 2), (5, "x" * 50_000, "en", "s", 9)]
+    labels = [(i, 1, i % 2) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"kept": F.lit("clash"), "score": F.lit(7), "spans": F.lit(1), "ids": F.lit("x"), "n_hit": F.lit(2)})
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (df, df.limit(0)):
+        n = docs.count()
+        for name, f in corpus_pipeline.STAGES[1:]:
+            docs = f(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == n
+        assert docs.count() == sum(-(-r.doc_tokens // 2048) > 0 for r in docs.collect())
+        assert {r.doc_id for r in docs.collect()} == ({1, 2, 3, 4, 5} if n else set())
+        assert all(len(r.ids) == 4 * r.length for r in docs.collect())
