@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -19,16 +20,17 @@ class Facts:
     visits: DataFrame
 
 
-def facts(raw: DataFrame, ref: Reference, s: Settings) -> Facts:
-    """The cleaned transactions, parking payments, hub zones and visits of one city."""
+def facts(raw: DataFrame, ref: Reference, s: Settings, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Facts:
+    """The cleaned transactions, parking payments, hub zones and visits of one city. `keep` gets each as it is made, with its name,
+    and returns what the next is made from."""
     s = replace(s, exclusions=ref.exclusions or s.exclusions)
-    tx = clean.localised(raw, s)
-    paid = parking.payments(tx, ref.tariff, s, ref.meters)
-    hub = clean.hubs(tx, s)
+    tx = keep(clean.localised(raw, s), "tx")
+    paid = keep(parking.payments(tx, ref.tariff, s, ref.meters), "paid")
+    hub = keep(clean.hubs(tx, s), "hubs")
     gone = hub.select("zone") if ref.left_out is None else hub.select("zone").unionByName(ref.left_out.select("zone"))
     bought = clean.visit_transactions(tx, ref.groups, s, gone)
     v = visits.visits(bought, s, parking.reached(paid, ref.reach))
-    return Facts(tx, paid, hub, visits.with_drivers(v, parking.driver_days(paid)))
+    return Facts(tx, paid, hub, keep(visits.with_drivers(v, parking.driver_days(paid)), "visits"))
 
 
 def aggregates(raw: DataFrame, ref: Reference, s: Settings) -> dict[str, DataFrame]:
@@ -40,11 +42,18 @@ def aggregates(raw: DataFrame, ref: Reference, s: Settings) -> dict[str, DataFra
 def from_facts(f: Facts, ref: Reference, s: Settings) -> dict[str, DataFrame]:
     v, m = f.visits, metrics.metered(f.paid)
     weeks = metrics.season_weeks(f.tx, s)
-    cells = metrics.cells(v, metrics.driver_share(v, ref.paid_zones))
-    weekly = metrics.weekly_pressure(v, cells, weeks)
+    seen = metrics.card_weeks(v)
+    cells = metrics.cells(v, metrics.driver_share(v, ref.paid_zones), seen)
+    weekly = metrics.weekly_pressure(v, cells, weeks, seen)
+    return outputs(f, ref, s, m, weeks, cells, weekly, seen)
+
+
+def outputs(f: Facts, ref: Reference, s: Settings, m: DataFrame, weeks: DataFrame, cells: DataFrame, weekly: DataFrame, seen: DataFrame) -> dict[str, DataFrame]:
+    """The aggregates from facts and from what several of them share."""
+    v = f.visits
     return {
         "group_metrics": metrics.group_metrics(cells, weekly, s),
-        "zone_metrics": metrics.zone_metrics(v, weekly, s, ref.paid_zones),
+        "zone_metrics": metrics.zone_metrics(v, weekly, s, ref.paid_zones, seen),
         "meter_metrics": metrics.meter_metrics(m, s),
         "subzone_metrics": metrics.subzone_metrics(m, s),
         "hubs": f.hubs,
@@ -55,19 +64,23 @@ def from_facts(f: Facts, ref: Reference, s: Settings) -> dict[str, DataFrame]:
 
 
 def write_all(raw: DataFrame, ref: Reference, s: Settings, directory: str) -> None:
-    """Every aggregate as one file under the directory. Visits and payments are kept on disk meanwhile, then let go."""
-    from pyspark import StorageLevel
+    """Every aggregate as one file under the directory.
 
+    What several aggregates read is written once to the shared folder: transactions, payments, visits, a card's weeks, cells and
+    weekly pressures. The scan and the windows run once, and a lost executor costs a
+    task, not these tables. They are left for the folder's owner to expire.
+    """
+    from ..shared import kept
     from ..sources.sinks import write_aggregate
 
-    f = facts(raw, ref, s)
-    f.tx, f.visits, f.paid = (x.persist(StorageLevel.DISK_ONLY) for x in (f.tx, f.visits, f.paid))
-    try:
-        for name, df in from_facts(f, ref, s).items():
-            write_aggregate(df, f"{directory}/{name}.parquet")
-    finally:
-        for x in (f.tx, f.visits, f.paid):
-            x.unpersist()
+    f = facts(raw, ref, s, kept)
+    m = metrics.metered(f.paid)
+    weeks = kept(metrics.season_weeks(f.tx, s), "weeks")
+    seen = kept(metrics.card_weeks(f.visits), "card-weeks")
+    cells = kept(metrics.cells(f.visits, metrics.driver_share(f.visits, ref.paid_zones), seen), "cells")
+    weekly = kept(metrics.weekly_pressure(f.visits, cells, weeks, seen), "weekly")
+    for name, df in outputs(f, ref, s, m, weeks, cells, weekly, seen).items():
+        write_aggregate(df, f"{directory}/{name}.parquet")
 
 
 def level_table(raw: DataFrame, ref: Reference, s: Settings) -> DataFrame:
