@@ -106,3 +106,10 @@ class Policy:
     levels: tuple[Level, ...] = (Level("P1", 60, 0.6, False, 0.8, 0.8), Level("P2", 60, 1.0, False, 1.2, 1.4), Level("P3", 45, 0.5, True, 1.5, 2.0), Level("P4", 30, 0.3, True, 2.0, 3.0))
     #: Minutes by which a dominant service group moves the end of the preferential period.
     shifts: dict[str, int] = field(default_factory=lambda: {"quick_services": -15, "personal_services": 15, "leisure": 15})
+
+
+#: How seasons, blocks and service groups are shown.
+SEASON_LABELS = {"summer": "Summer (June to September 2025)", "academic": "Academic year (October 2025 to June 2026)"}
+BLOCK_LABELS = {"07-10": "7 to 10", "10-13": "10 to 13", "13-16": "13 to 16", "16-19": "16 to 19"}
+GROUP_LABELS = {"quick_services": "Quick services", "small_grocery": "Small groceries", "retail": "Retail", "food_service": "Food service", "personal_services": "Personal services", "leisure": "Leisure and culture"}
+AREA_LABELS = {"true": "paid zone", "false": "buffer"}

@@ -71,6 +71,12 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
 
 
+def merchants_of_zones(raw: DataFrame, zones: list[str], most: int = 40) -> DataFrame:
+    """The `most` frequent pairs of merchant and category in the zones named, as in a profile of a few postal codes."""
+    c = ["mrch_postal_code", "mrch_nm_raw", "mrch_catg_cd"]
+    return value_counts(raw.where(F.col("mrch_postal_code").isin(*zones)), *c).limit(most)
+
+
 def profile(df: DataFrame, merchant: str, pattern: str, nullable: str) -> DataFrame:
     """One row: rows, rows whose merchant matches, rows without a value."""
     return df.agg(F.count("*").alias("n"), F.count_if(F.col(merchant).rlike(pattern)).alias("n_match"), F.count_if(F.col(nullable).isNull()).alias("n_null"))

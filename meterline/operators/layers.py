@@ -101,6 +101,46 @@ def street_lists(points: DataFrame, street: str = "street") -> DataFrame:
     )
 
 
+def street_names(points: DataFrame, full: str = "street_full", short: str = "street") -> DataFrame:
+    """zone, streets_full, streets, n_streets: a zone's streets by their full and by their short names, two lists of the same
+    addresses; n_streets counts full names. Zones without any street have empty lists."""
+    lists = street_lists(points, full).select("zone", F.col("streets").alias("streets_full"), "n_streets")
+    return lists.join(street_lists(points, short).select("zone", "streets"), "zone").select("zone", "streets_full", "streets", "n_streets")
+
+
+def meters_by_zone(meters: DataFrame) -> DataFrame:
+    """zone, meters: zones with a meter whose zone is known, in the zones' order."""
+    return meters.where(F.col("zone").isNotNull()).groupBy("zone").agg(F.count("*").alias("meters")).orderBy("zone")
+
+
+def zone_picker(cells: DataFrame) -> DataFrame:
+    """The cells of one season and block (zone, too_few, pressure) with `position`: zones with enough data first, then by pressure,
+    the highest first and unknown last, then by zone. There are as many rows as zones."""
+    order = Window.orderBy(F.coalesce("too_few", F.lit(True)), F.desc_nulls_last("pressure"), "zone")
+    return cells.withColumn("position", F.row_number().over(order))
+
+
+def by_pressure(cells: DataFrame) -> DataFrame:
+    """Cells with `position` by pressure, the highest first, unknown last; then by zone and block."""
+    return cells.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("pressure"), "zone", "block")))
+
+
+def labelled(code: Column, labels: dict[str, str], missing: str = "") -> Column:
+    """The label of a code, the code itself where there is none, `missing` for null."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.element_at(known, code.cast("string")), code.cast("string"), F.lit(missing))
+
+
+def playback_payload(profile: DataFrame, labels: DataFrame, streets: DataFrame, s: Settings) -> DataFrame:
+    """zone, payload: what a day's playback shows of a zone, as JSON: its streets, the pressure of each block on the scale of 0 to 4
+    and the block's label. profile: zone and a pressure for each block; labels: zone and a label for each block."""
+    names = [b.name for b in s.blocks]
+    values = F.array(*[geo.scale_04(F.greatest(F.lit(0.0), F.coalesce(F.col(f"`{n}`"), F.lit(0.0))), s.cuts) for n in names])
+    at = profile.select("zone", values.alias("scale")).join(labels.select("zone", F.array(*[F.col(f"`{n}`") for n in names]).alias("labels")), "zone")
+    at = at.join(streets.select("zone", "streets"), "zone", "left")
+    return at.select("zone", F.to_json(F.struct("zone", F.coalesce("streets", F.lit("")).alias("streets"), F.transform("scale", lambda v: F.round(v, 3)).alias("scale"), "labels")).alias("payload"))
+
+
 def one_zone_a_place(points: DataFrame) -> DataFrame:
     """(x, y, zone): the most frequent zone at a place, the smallest on a tie."""
     return points.groupBy("x", "y", "zone").agg(F.count("*").alias("n")).groupBy("x", "y").agg(F.min_by("zone", F.struct(-F.col("n"), F.col("zone"))).alias("zone"))

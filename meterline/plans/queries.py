@@ -477,6 +477,52 @@ def street_lists(spark, d):
     return layers.street_lists(street_points(spark, d)).select("zone", "streets", "n_streets", "n_addresses", *r6("x", "y"))
 
 
+_LISTED = "select zone, string_agg({c}, '; ' order by n desc, {c}) as streets, count(*) as n_streets from (select zone, {c}, count(*) as n from named group by all) group by zone"
+
+
+@query("street_names", f"with named as (select zone, street as street_full, case when street like '%3%' then 'al. ' || street[8:] else street[8:] end as street from ({_STREETS})) select a.zone, a.streets as streets_full, b.streets, a.n_streets from ({_LISTED.format(c='street_full')}) a join ({_LISTED.format(c='street')}) b using (zone)")
+def street_names(spark, d):
+    stem = F.substring("street", 8, 99)
+    p = street_points(spark, d).withColumns({"street_full": F.col("street"), "street": F.when(F.col("street").like("%3%"), F.concat(F.lit("al. "), stem)).otherwise(stem)})
+    return layers.street_names(p)
+
+
+# Customers as cells: a zone each, a seventh without pressure, a fifth with too little data, a few that don't know.
+_CELLS = "select c_custkey, lpad(cast(c_custkey as varchar), 9, '0') as zone, case when c_custkey % 11 = 0 then null else c_custkey % 5 = 0 end as too_few, case when c_custkey % 7 <> 0 then cast(round(c_acctbal / 100) as double) end as pressure, concat('b', c_custkey % 3) as block, c_nationkey from customer"
+
+
+def customer_cells(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    pressure = F.when(k % 7 != 0, F.round(F.col("c_acctbal").cast("double") / 100))
+    return table(spark, d, "customer").select(F.lpad(k.cast("string"), 9, "0").alias("zone"), F.when(k % 11 != 0, k % 5 == 0).alias("too_few"), pressure.alias("pressure"), F.concat(F.lit("b"), (k % 3).cast("string")).alias("block"), "c_nationkey")
+
+
+@query("zone_picker", f"select zone, cast(row_number() over (order by coalesce(too_few, true), pressure desc nulls last, zone) as int) as position from ({_CELLS})")
+def zone_picker(spark, d):
+    return layers.zone_picker(customer_cells(spark, d)).select("zone", "position")
+
+
+@query("cells_by_pressure", f"select zone, block, pressure, cast(row_number() over (order by pressure desc nulls last, zone, block) as int) as position from ({_CELLS})")
+def cells_by_pressure(spark, d):
+    return layers.by_pressure(customer_cells(spark, d)).select("zone", "block", "pressure", "position")
+
+
+@query("meters_by_zone", f"select case when too_few then null else c_nationkey end as zone, count(*) as meters from ({_CELLS}) where not too_few or too_few is null group by 1")
+def meters_by_zone(spark, d):
+    m = customer_cells(spark, d).select(F.when(~F.coalesce("too_few", F.lit(False)), F.col("c_nationkey")).alias("zone"))
+    return layers.meters_by_zone(m)
+
+
+@query("merchants_of_zones", "select mrch_postal_code, mrch_nm_raw, cast(mrch_catg_cd as int) as mrch_catg_cd, count(*) as n from city where mrch_postal_code in ('90-000', '90-002') group by all order by n desc, 1, 2, 3 limit 40", "city")
+def merchants_of_zones(spark, d):
+    return clean.merchants_of_zones(city(spark, d), ["90-000", "90-002"]).withColumn("mrch_catg_cd", F.col("mrch_catg_cd").cast("int"))
+
+
+@query("labels", "select event_id, case event_type when 'view' then 'Seen' when 'click' then 'Clicked' else coalesce(event_type, '-') end as label from events")
+def labels(spark, d):
+    return table(spark, d, "events").select("event_id", layers.labelled(F.col("event_type"), {"view": "Seen", "click": "Clicked"}, "-").alias("label"))
+
+
 @query("zone_of_place", f"select x, y, arg_min(zone, (-n, zone)) as zone from (select x, y, zone, count(*) as n from ({_STREETS}) group by all) group by x, y")
 def zone_of_place(spark, d):
     return layers.one_zone_a_place(street_points(spark, d))
@@ -568,14 +614,28 @@ def meter_reach(spark, d):
     return nearest.reach(vectors(spark, d).select(F.col("id").alias("meter"), "x", "y", F.lit(None).cast("string").alias("zone")), zones, radius=5.0)
 
 
-@query("grid_positions", "select event_id, round(51.6 + user_id / 1000, 6) as lat, round(19.2 + user_id / 800, 6) as lon from events")
+# The projection by another way: the conformal latitude from the inverse hyperbolic tangent, and the published numbers of the series
+# for GRS80 (radius of the rectifying sphere, four terms), not the engine's own.
+_GRID = """
+with p as (select event_id, radians(51.6 + user_id / 1000) as phi, radians(19.2 + user_id / 800 - 19) as lam from events),
+q as (select event_id, lam, sinh(asinh(tan(phi)) - 0.0818191910428158 * atanh(0.0818191910428158 * sin(phi))) as t from p),
+z as (select event_id, atan2(t, cos(lam)) as xi, asinh(sin(lam) / sqrt(t * t + cos(lam) ** 2)) as eta from q)
+select event_id,
+  round(500000 + 0.9993 * 6367449.1457710 * (eta + 8.377318247344e-4 * cos(2 * xi) * sinh(2 * eta) + 7.608527788826e-7 * cos(4 * xi) * sinh(4 * eta) + 1.197638019173e-9 * cos(6 * xi) * sinh(6 * eta) + 2.4433762e-12 * cos(8 * xi) * sinh(8 * eta)), 2) as x,
+  round(-5300000 + 0.9993 * 6367449.1457710 * (xi + 8.377318247344e-4 * sin(2 * xi) * cosh(2 * eta) + 7.608527788826e-7 * sin(4 * xi) * cosh(4 * eta) + 1.197638019173e-9 * sin(6 * xi) * cosh(6 * eta) + 2.4433762e-12 * sin(8 * xi) * cosh(8 * eta)), 2) as y,
+  round(51.6 + user_id / 1000, 6) as lat, round(19.2 + user_id / 800, 6) as lon
+from z join events using (event_id)
+"""
+
+
+@query("grid_positions", _GRID)
 def grid_positions(spark, d):
-    """Positions to the national grid and back."""
+    """Positions on the national grid, and back from there."""
     at = table(spark, d, "events").select("event_id", (F.lit(51.6) + F.col("user_id") / 1000).alias("lat"), (F.lit(19.2) + F.col("user_id") / 800).alias("lon"))
     x, y = geo.to_grid(F.col("lat"), F.col("lon"))
     back = geo.to_degrees(F.col("x"), F.col("y"))
     grid = at.withColumns({"x": x, "y": y})
-    return grid.select("event_id", F.round(back[0], 6).alias("lat"), F.round(back[1], 6).alias("lon"))
+    return grid.select("event_id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round(back[0], 6).alias("lat"), F.round(back[1], 6).alias("lon"))
 
 
 _GEOREFERENCE = """
