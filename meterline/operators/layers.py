@@ -188,9 +188,14 @@ def as_page_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False).replace("</", "<\\/")
 
 
+def natural_key(id_column: str) -> list[Column]:
+    """What sorts ids by the number they begin with, then as text: 2A before 10; ids without a number come last."""
+    return [F.regexp_extract(id_column, "^([0-9]+)", 1).try_cast("long").asc_nulls_last(), F.col(id_column)]
+
+
 def natural_order(df: DataFrame, id_column: str) -> DataFrame:
-    """Rows by the number an id begins with, then by the id: 2A before 10."""
-    return df.orderBy(F.regexp_extract(id_column, "^([0-9]+)", 1).try_cast("long").asc_nulls_last(), id_column)
+    """Rows by the number an id begins with, then by the id."""
+    return df.orderBy(*natural_key(id_column))
 
 
 def with_total(df: DataFrame, key: str, *amounts: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SCALED_AMOUNTS, Policy
@@ -334,9 +334,23 @@ def rate_table(spark, d):
     return decisions.rate_table(levels_of(k), groups_of(k), POLICY)
 
 
-@query("level_rates", "select level, opening, cast(hour_1 as double) as hour_1, cast(hour_2 as double) as hour_2, cast(hour_3 as double) as hour_3, cast(cost_3h as double) as cost_3h from (values ('P1', '3,60 zł/h przez pierwsze 60 min', 3.6, 4.8, 4.8, 13.2), ('P2', '6,00 zł/h przez pierwsze 60 min', 6.0, 7.2, 8.4, 21.6), ('P3', '3,00 zł za pierwsze 45 min (opłata stała)', 5.25, 9.0, 12.0, 26.25), ('P4', '1,80 zł za pierwsze 30 min (opłata stała)', 7.8, 12.0, 18.0, 37.8)) t(level, opening, hour_1, hour_2, hour_3, cost_3h)")
+_LEVEL_RATES = """
+with rates(level, opening, hour_1, hour_2, hour_3, cost_3h) as (
+  values ('P1', '3,60 zł/h przez pierwsze 60 min', 3.6, 4.8, 4.8, 13.2),
+    ('P2', '6,00 zł/h przez pierwsze 60 min', 6.0, 7.2, 8.4, 21.6),
+    ('P3', '3,00 zł za pierwsze 45 min (opłata stała)', 5.25, 9.0, 12.0, 26.25),
+    ('P4', '1,80 zł za pierwsze 30 min (opłata stała)', 7.8, 12.0, 18.0, 37.8)
+)
+select c_custkey, level, opening, cast(hour_1 as double) as hour_1, cast(hour_2 as double) as hour_2, cast(hour_3 as double) as hour_3, cast(cost_3h as double) as cost_3h
+from customer join rates on level = concat('P', c_custkey % 4 + 1)
+"""
+
+
+@query("level_rates", _LEVEL_RATES)
 def level_rates(spark, d):
-    return decisions.level_rates(spark, POLICY)
+    """What a stay costs each customer at the level of their zone, from the policy's default rates."""
+    at = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("P"), (F.col("c_custkey") % 4 + 1).cast("string")).alias("level"))
+    return at.join(decisions.level_rates(spark, POLICY), "level").select("c_custkey", "level", "opening", "hour_1", "hour_2", "hour_3", "cost_3h")
 
 
 @query("stay_costs", f"select o_orderkey, level, minutes, round({_cost('minutes')}, 2) as cost from (select o_orderkey, level, minutes, least(free, 60) as fm, flat, round(cast(f as double) * 6.0, 2) as fr, round(cast(t as double) * 6.0, 2) as tr, round(cast(a as double) * 6.0, 2) as ar from (select o_orderkey, 'P' || (o_orderkey % 4 + 1) as lvl, cast(o_orderkey % 300 as int) as minutes from orders) o join {_LEVELS} on o.lvl = t.level)")
@@ -686,6 +700,22 @@ def missing_keys(spark, d):
     return layers.missing_keys(table(spark, d, "customer").select((F.col("c_nationkey") + 3).alias("key")), table(spark, d, "nation").select(F.col("n_nationkey").alias("key")), "key")
 
 
-@query("ordered_meters", "select meter, m.meter_zone as zone from meters m", "meters")
+_NATURAL = """
+with m as (select c_custkey, case when c_custkey % 13 = 0 then 'x' || c_custkey else (c_custkey * 37 % 1000) || substring('ABCD', cast(c_custkey % 4 as int) + 1, 1) || c_custkey end as meter from customer)
+select meter, cast(row_number() over (order by try_cast(regexp_extract(meter, '^([0-9]+)', 1) as bigint) nulls last, meter) as int) as position from m
+"""
+
+
+@query("ordered_meters", _NATURAL)
 def ordered_meters(spark, d):
-    return layers.natural_order(ref(spark).meters, "meter").select("meter", F.col("meter_zone").alias("zone"))
+    k = F.col("c_custkey")
+    named = F.concat((k * 37 % 1000).cast("string"), F.substring(F.lit("ABCD"), (k % 4 + 1).cast("int"), F.lit(1)), k.cast("string"))
+    m = table(spark, d, "customer").select(F.when(k % 13 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(named).alias("meter"))
+    return m.withColumn("position", F.row_number().over(Window.orderBy(*layers.natural_key("meter"))))
+
+
+@query("visits_without_zones", "select txn_id, zone, service_group from vt where zone not in (select concat('90-00', n_nationkey) from nation where n_regionkey = 1)", "vt")
+def visits_without_zones(spark, d):
+    """Purchases at places, without the zones that a table says to leave out."""
+    gone = clean.hubs(tx(spark, d), S).select("zone").unionByName(table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("90-00"), F.col("n_nationkey").cast("string")).alias("zone")))
+    return clean.visit_transactions(tx(spark, d), ref(spark).groups, S, gone).select("txn_id", "zone", "service_group")
