@@ -7,10 +7,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, documents, small_batches
+from .common import append_columns, documents, small_batches, stage
 from .words import chunks, encoder, special, split
 
 
@@ -20,13 +21,29 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Sketches merged by one task; the last so many meet in the driver.
+FAN_IN = 16
+
+
+def _heaviest(seen: Counter, most: int) -> tuple[list[str], list[int]]:
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return [w for w, _ in top], [n for _, n in top]
+
+
 def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens of all texts, at most `entries` of them.
 
-    Each partition counts with a bounded counter and hands on its `entries` most frequent, whose counts Spark adds up. The
-    table only saves work; a pre-token that it lacks is encoded where it is met. So counts that a full counter drops do no harm.
+    Each task reads its texts into a bounded counter and hands on one row: a sketch of its `entries` most frequent pre-tokens.
+    Sketches are merged FAN_IN at a time into sketches of the same size, so pre-tokens themselves are never dealt out, and what
+    the driver gets is bounded. The table only saves work; a pre-token that it lacks is encoded where it is met. So counts that a
+    full counter drops do no harm.
     """
     small_batches(df.sparkSession)
+    ddl = "block bigint, words array<string>, counts array<bigint>"
+
+    def table(block: int, seen: Counter) -> dict:
+        words, counts = _heaviest(seen, entries)
+        return {"block": pa.array([block], pa.int64()), "words": pa.array([words], pa.list_(pa.string())), "counts": pa.array([counts], pa.list_(pa.int64()))}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -36,19 +53,25 @@ def frequent_lengths(df: DataFrame, text: str, path: str, entries: int = 30_000)
                     seen.update(split(part))
                     if len(seen) > 20 * entries:
                         seen = Counter(dict(seen.most_common(10 * entries)))
-        words, n = zip(*seen.most_common(entries)) if seen else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, True)
-        for b in batches:
-            words = b.column(0).to_pylist()
-            enc.learn(set(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.get(w) for w in words], pa.int32())], names=["word", "n"])
+        if seen:
+            yield pa.RecordBatch.from_pydict(table(TaskContext.get().partitionId(), seen))
 
-    parts = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "word string, n bigint")
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).select("word")
-    return {r.word: r.n for r in top.mapInArrow(measure, "word string, n int").collect()}
+    def merged(rows) -> Counter:
+        seen: Counter = Counter()
+        for words, counts in rows:
+            seen.update(dict(zip(words, counts)))
+        return seen
+
+    def merge(group: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        return pa.table(table(group[0].as_py(), merged(zip(t.column("words").to_pylist(), t.column("counts").to_pylist()))))
+
+    sketches = stage(df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, ddl), "token-sketches")
+    while sketches.count() > FAN_IN:
+        sketches = stage(sketches.groupBy(F.floor(F.col("block") / FAN_IN).alias("group")).applyInArrow(merge, ddl), "token-sketches")
+    words, _ = _heaviest(merged((r.words, r.counts) for r in sketches.collect()), entries)
+    enc = encoder(path, True)
+    enc.learn(set(words))
+    return {w: enc.get(w) for w in words}
 
 
 def token_counts(df: DataFrame, text: str = "text", path: str | None = None, entries: int = 30_000) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.llm import common, neardup, runs, topk, whitening
+from meterline.llm import common, neardup, runs, tokens, topk, whitening
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -220,3 +220,22 @@ def test_a_component_is_not_compared_with_itself(spark):
     assert o.count() == n + 2 and met.count() == 2 * (n + 2) and met.distinct().count() == 2 * (n + 2)
     few, centres = neardup.dealt(neardup.open_rows(named, classes, 16).persist())
     assert few.count() == n + 2 and few.join(centres, ["band", "part_a", "part_b"]).count() == (n + 2) * centres.select("node_b").distinct().count()
+
+
+# ---- 3, its frequent pre-tokens ----
+
+def test_sketches_are_merged_in_rounds(spark, monkeypatch):
+    """One row a task leaves the texts; the merged table holds the most frequent pre-tokens with the library's counts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "FAN_IN", 2)
+    made = []
+    monkeypatch.setattr(tokens, "stage", lambda df, name: made.append((name, df)) or common.stage(df, name))
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    texts = [f"often word{name(i % 5)} sometimes{name(i % 40)} rare{name(i)}" for i in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    table = tokens.frequent_lengths(df, "text", tokens.vocabulary_path(), entries=46)
+    assert {"often"} | {f"word{name(i)}" for i in range(5)} <= {w.strip() for w in table}
+    t = Tokenizer.from_file(tokens.vocabulary_path())
+    assert all(n == len(t.encode(w, add_special_tokens=False).ids) for w, n in table.items())
+    assert len(made) > 2 and made[0][1].count() <= 9 and len(table) <= 46
