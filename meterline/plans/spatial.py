@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import coverage, layers, nearest, segments, voronoi
+from ..operators import coverage, layers, nearest, raster, segments, voronoi
 from ..shared import shared_dir
 from ..sources import shapefile, sinks
 from .queries import query, table, vectors
@@ -221,3 +221,28 @@ def csv_read_back(spark, d):
     sinks.write_csv(table(spark, d, "customer").select("c_name", "c_custkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal")), at, mark=True)
     kinds = "c_name string, c_custkey bigint, c_mktsegment string, c_acctbal double"
     return spark.read.csv(at, header=True, schema=kinds, escape='"').select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+
+# Each vector is a row of a picture of 64 columns, 500 rows to a picture; a pixel is set where the entry is large.
+_DOTS = """
+with recursive e as (select vec_id // 500 as raster, vec_id % 500 as y, unnest(range(0, len(embedding))) as x, unnest(embedding) as v from embeddings),
+p as (select raster, x, y from e where v > 0.09),
+r as (
+  select raster, x, y, y * 2147483648 + x as origin from p
+  union
+  select p.raster, p.x, p.y, origin from r join p on p.raster = r.raster and abs(p.x - r.x) <= 1 and abs(p.y - r.y) <= 1
+),
+d as (select raster, x, y, min(origin) as dot from r group by all)
+select raster, cast(dot as bigint) as dot, count(*) as area, round(avg(x), 6) as cx, round(avg(y), 6) as cy from d group by raster, dot
+"""
+
+
+def picture(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 500).alias("raster"), (F.col("vec_id") % 500).alias("y"), F.posexplode("embedding").alias("x", "v"))
+    return e.where("v > double(0.09)").select("raster", "x", "y")
+
+
+@query("dots", _DOTS)
+def dots(spark, d):
+    """Connected components of pixels, with area and centre; tiles are small, so most cross an edge."""
+    return raster.measured(raster.dots(picture(spark, d), 48)).select("raster", "dot", "area", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))

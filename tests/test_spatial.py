@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterline.operators import coverage, nearest, quadtree, segments, voronoi
+from meterline.operators import coverage, nearest, quadtree, raster, segments, voronoi
 
 
 def clustered(n, seed=3):
@@ -224,3 +224,57 @@ def test_crossings_of_named_lines(spark):
     wanted = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("x", "a"), ("a", "a")], "first string, second string")
     got = {(g.first, g.second): (g.x, g.y, g.n) for g in segments.crossings_of_lines(lines, wanted).collect()}
     assert got == {("a", "b"): (12.5, 0.0, 2), ("a", "c"): (None, None, 0), ("x", "a"): (None, None, 0), ("a", "a"): (None, None, 0)}
+
+
+# ---- dots ----
+
+def components_of(pixels):
+    left, out = set(pixels), []
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            x, y = todo.pop()
+            part.append((x, y))
+            for n in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+        out.append(part)
+    return out
+
+
+@pytest.mark.parametrize("share, tile", [(0.3, 7), (0.45, 16), (0.45, 512)])
+def test_dots_equal_flood_fill(spark, share, tile):
+    r = np.random.default_rng(5)
+    rows, want = [], []
+    for k in range(2):
+        pixels = [(int(x), int(y)) for y, x in np.argwhere(r.random((50, 60)) < share)]
+        rows += [(k, x, y) for x, y in pixels]
+        want += [(k, min((y, x) for x, y in part), len(part)) for part in components_of(pixels)]
+    df = spark.createDataFrame([*rows, *rows[:9], (0, None, 1), (None, 1, 1)], "raster long, x int, y int")
+    got = raster.measured(raster.dots(df, tile)).collect()
+    assert sorted((g.raster, divmod(g.dot, raster.WIDE), g.area) for g in got) == sorted(want)
+    assert raster.dots(df.limit(0)).count() == 0
+
+
+def test_a_spiral_is_one_dot():
+    n, path, x, y, dx, dy = 41, set(), 0, 0, 1, 0
+    while True:
+        path.add((x, y))
+        ahead = [(x + dx, y + dy), (x + 2 * dx, y + 2 * dy)]
+        if not (0 <= ahead[0][0] < n and 0 <= ahead[0][1] < n) or ahead[1] in path:
+            dx, dy = -dy, dx
+            if (x + dx, y + dy) in path or not (0 <= x + dx < n and 0 <= y + dy < n) or (x + 2 * dx, y + 2 * dy) in path:
+                break
+        x, y = x + dx, y + dy
+    pixels = np.array(sorted(path, key=lambda p: (p[1], p[0])))
+    assert len(path) > 400 and set(raster.labelled_tile(pixels[:, 0], pixels[:, 1]).tolist()) == {0}
+
+
+def test_merged_dots_are_split(spark):
+    disc = lambda cx, cy: {(x, y) for x in range(cx - 5, cx + 6) for y in range(cy - 5, cy + 6) if (x - cx) ** 2 + (y - cy) ** 2 <= 20}
+    pixels = disc(20, 20) | disc(50, 20) | disc(58, 20) | disc(20, 60) | disc(20, 68) | disc(28, 68) | {(90, 90)}
+    labelled = raster.dots(spark.createDataFrame([(4, x, y) for x, y in pixels], "raster long, x long, y long"), 24)
+    got = sorted((round(d.x), round(d.y)) for d in raster.split_dots(labelled, len(disc(0, 0)), least=10).collect())
+    want = sorted([(20, 20), (50, 20), (58, 20), (20, 60), (20, 68), (28, 68)])
+    assert len(got) == 6 and all(abs(a - c) <= 1 and abs(b - e) <= 1 for (a, b), (c, e) in zip(got, want))
