@@ -110,8 +110,8 @@ class Whitening:
 def fit(distinct: DataFrame, components: int = 4) -> Whitening:
     """The leading components of the vectors in column `x` (array<bigint>) of `distinct`, each counted as often as it is there.
 
-    Sums are whole numbers. Each task then centres its rows and keeps one triangle; triangles are merged FAN_IN at a time. Only sums and the last triangles, whose sizes follow the dimension, reach
-    the driver. Vectors shorter than the longest count as filled up with zeros; without rows, or with a single vector, there
+    Sums are whole numbers. Each task then centres its rows and keeps one triangle; triangles are merged FAN_IN at a time. Only
+    sums and the last triangles, whose sizes follow the dimension, reach the driver. Vectors shorter than the longest count as filled up with zeros; without rows, or with a single vector, there
     are no components.
     """
     small_batches(distinct.sparkSession)
