@@ -31,6 +31,8 @@ LABEL = r"(\p{L}[\p{L}\p{N}_.]+)\x20{0,2}[:=#]\x20{0,2}[\"'(<\[]{0,2}"
 BEFORE2, BEFORE3, AFTER = r"(\S+\s+\S+)\s+[\"'(<\[]{0,2}$", r"(\S+\s+\S+\s+\S+)\s+[\"'(<\[]{0,2}$", r"^[\"')>\]]{0,2}\s+(\S+)"
 #: Characters before and after a value in which its context is looked for.
 NEAR = 160
+#: Rows and spans found by context that are sent to all tasks at most (some 10 MB); texts needn't be dealt out then.
+MOST_SENT = 200_000
 SPAN = "struct<kind:string,start:int,end:int,value:string,patterns:array<string>>"
 
 
@@ -169,7 +171,10 @@ def find_pii(df: DataFrame, row_id: str = "doc_id", text: str = "text", rounds:
     chosen = learn_contexts(seen.select("label", "value", (F.col("kind") != "context").cast("double").alias("seed")), rounds, support, confidence)
     added = seen.where("kind = 'context'").join(chosen, ["label", "value"], "left_semi")
     bare = "struct<kind:string,start:int,end:int>"
-    added = added.groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("__more"))
+    added = stage(added.groupBy("__id", "__row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("__more")), "pii-added", few=True)
+    # a table whose spans are counted and few goes to the texts; a larger one meets them by id
+    held = added.agg(F.count("*") + F.coalesce(F.sum(F.size("__more")), F.lit(0))).first()[0]
+    added = F.broadcast(added) if held <= MOST_SENT else added
     short = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     out = based.withColumn("base", short).drop("__base")
     joined = out.join(added.withColumnsRenamed({"__id": "__aid", "__row": "__arow"}), F.col("__id").eqNullSafe(F.col("__aid")) & (F.col("__row") == F.col("__arow")), "left")
