@@ -18,13 +18,19 @@ _BACK = [_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N
 _LATITUDE = [2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630]
 
 
+def _asinh(x: Column) -> Column:
+    """Odd to the last bit: nothing cancels for large negative values."""
+    return F.signum(x) * F.log(F.abs(x) + F.sqrt(x * x + 1))
+
+
 def to_grid(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres of a WGS84 position (millimetres off within the zone)."""
+    """Easting and northing in metres of a WGS84 position (millimetres off within the zone). No quotient has a zero below it, at a
+    pole or anywhere off the equator."""
     phi, lam = F.radians(lat), F.radians(lon - F.lit(MERIDIAN))
     k = 2 * math.sqrt(_N) / (1 + _N)
-    atanh = lambda x: F.log((1 + x) / (1 - x)) / 2
-    t = F.sinh(atanh(F.sin(phi)) - k * atanh(k * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    bent = k * F.sin(phi)
+    t = F.sinh(_asinh(F.tan(phi)) - k * F.log((1 + bent) / (1 - bent)) / 2)
+    xi, eta = F.atan2(t, F.cos(lam)), _asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
     north, east = xi, eta
     for j, a in enumerate(_FORWARD, 1):
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
@@ -39,13 +45,18 @@ def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
     for j, b in enumerate(_BACK, 1):
         north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(north) / F.cosh(east))
+    chi = F.atan2(F.sin(north), F.hypot(F.sinh(east), F.cos(north)))
     lat = chi
     for j, d in enumerate(_LATITUDE, 1):
         lat = lat + d * F.sin(2 * j * chi)
     return F.degrees(lat), MERIDIAN + F.degrees(F.atan2(F.sinh(east), F.cos(north)))
 
 
+def on_globe(lat: Column, lon: Column) -> Column:
+    """Whether a position has one way back from the grid: between the poles, and no further from the meridian than half a turn."""
+    return (F.abs(lat) < 90) & (F.abs(lon - MERIDIAN) < 180)
+
+
 def affine(m: list[list[float]], px: Column, py: Column) -> tuple[Column, Column]:
     """[px, py, 1] times a 3 x 2 matrix."""
     return tuple(px * m[0][i] + py * m[1][i] + m[2][i] for i in (0, 1))
