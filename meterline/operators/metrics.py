@@ -12,9 +12,10 @@ CELL = ["zone", "block", "period", "service_group"]
 ZONE = ["zone", "block", "period"]
 
 
-def median(c: str | Column) -> Column:
-    """The lower median."""
-    return F.percentile_approx(c, 0.5)
+def median(c: str) -> Column:
+    """The lower median, exact whatever the rows number. A group keeps a count for each different value: minutes, amounts of a
+    tariff or a season's weeks, which don't grow with the rows."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {c})")
 
 
 def season_weeks(tx: DataFrame, s: Settings) -> DataFrame:
@@ -128,7 +129,7 @@ def paid_hours(m: DataFrame, weeks: DataFrame, s: Settings) -> DataFrame:
     cards = counted(own, ZONE, "card", "cards")
     seen = own.groupBy(*ZONE, "week").agg((F.sum("minutes") / 60).alias("hours"))
     grid = cards.where(F.col("cards") >= s.min_cards).join(weeks, "period").join(seen, [*ZONE, "week"], "left")
-    return grid.groupBy(*ZONE, "cards").agg(median(F.coalesce("hours", F.lit(0.0))).alias("paid_hours")).select(*ZONE, "paid_hours", "cards")
+    return grid.fillna(0.0, ["hours"]).groupBy(*ZONE, "cards").agg(median("hours").alias("paid_hours")).select(*ZONE, "paid_hours", "cards")
 
 
 def regulars(m: DataFrame, s: Settings) -> DataFrame:
@@ -144,9 +145,9 @@ def calibration(v: DataFrame, s: Settings) -> DataFrame:
     """Per service group, over visits of two purchases or more: measured minutes from first to last purchase."""
     several = F.col("transactions") >= 2
     measured = minutes_between(F.col("start"), F.col("end"))
-    out = v.groupBy("service_group").agg(
+    out = v.withColumn("measured", F.when(several, measured)).groupBy("service_group").agg(
         F.max(F.when(several, F.col("default_minutes"))).alias("default_minutes"), F.count_if(several).alias("multi_visits"),
-        (F.count_if(several) / F.count("*")).alias("multi_share"), median(F.when(several, measured)).alias("measured_minutes"),
+        (F.count_if(several) / F.count("*")).alias("multi_share"), median("measured").alias("measured_minutes"),
     )
     out = out.join(counted(v.where(several), ["service_group"], "card", "cards"), "service_group", "left").fillna(0, ["cards"])
     return out.select("service_group", "default_minutes", "multi_visits", "cards", "multi_share", "measured_minutes").where(F.col("cards") >= s.min_cards)

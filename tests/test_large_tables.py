@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from meterline.operators import metrics
+from meterline.plans import testdata as td
 
 
 def test_grid_positions_at_the_pole_and_beyond(spark, tmp_path):
@@ -13,3 +16,9 @@ def test_grid_positions_at_the_pole_and_beyond(spark, tmp_path):
     found = {r[0]: tuple(r[1:]) for r in __spark_entry__.queries()["grid_positions"](spark, str(tmp_path)).collect()}
     sql = __spark_entry__.oracle_sql()["grid_positions"].replace("events", f"'{tmp_path}/events.parquet/*.parquet'", 1).replace("join events", f"join '{tmp_path}/events.parquet/*.parquet'")
     assert found == {r[0]: pytest.approx(r[1:], abs=1e-9) for r in duckdb.sql(sql).fetchall()} and len(found) == len(users)
+
+
+def test_medians_of_large_groups_are_exact(spark):
+    """Values all different: a rank that is off by one shows."""
+    values = spark.range(600_000).select(F.lit("S1").alias("period"), F.lit("07-10").alias("block"), F.lit("A").alias("subzone"), (F.col("id") * 7919 % 600_000 / 10).alias("minutes"), F.lit(1.0).alias("amount"), (F.col("id") % 50).alias("card"), F.lit("1A").alias("meter"), F.lit("2024-01-02").alias("day"))
+    assert metrics.subzone_metrics(values.repartition(7), td.SETTINGS).first()["median_minutes"] == 29_999.9
