@@ -18,12 +18,16 @@ def first_case(cases: list[tuple[Column, str]]) -> Column:
 
 def local_time(day: str, gmt_time: str, zone: str) -> Column:
     """Wall time of a GMT date (yyyy-MM-dd) and time (HHmmss); null where either is malformed."""
-    return F.from_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", day, gmt_time), F.lit("yyyy-MM-dd HHmmss")), zone)
+    t = F.col(gmt_time)
+    well = F.concat(F.col(day), F.lit(" "), t).rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{6}\z")
+    # a cast costs a fraction of a formatter's parse
+    stamp = F.concat(F.col(day), F.lit(" "), t.substr(1, 2), F.lit(":"), t.substr(3, 2), F.lit(":"), t.substr(5, 2)).try_cast("timestamp")
+    return F.from_utc_timestamp(F.when(well, stamp), zone)
 
 
 def block_of(ts: Column, s: Settings) -> Column:
-    hour = F.hour(ts)
-    return first_case([((hour >= b.start) & (hour < b.end), b.name) for b in s.blocks])
+    names = [next((b.name for b in s.blocks if b.start <= hour < b.end), None) for hour in range(24)]
+    return F.get(F.array(*[F.lit(n).cast("string") for n in names]), F.hour(ts))
 
 
 def period_of(day: Column, s: Settings) -> Column:
@@ -36,7 +40,7 @@ def is_workday(day: Column, s: Settings) -> Column:
 
 
 def week_of(ts: Column) -> Column:
-    return F.date_trunc("week", ts).cast("date")
+    return F.trunc(F.to_date(ts), "week")
 
 
 def minutes_between(a: Column, b: Column) -> Column:

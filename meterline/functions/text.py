@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def postal_code(c: Column) -> Column:
     """NN-NNN from five digits with blanks or dashes anywhere; null for anything else."""
-    bare = F.translate(c, "- \t\n\x0b\f\r", "")
-    return F.when(bare.rlike("^[0-9]{5}$"), F.concat(bare.substr(1, 2), F.lit("-"), bare.substr(3, 3)))
+    bare = c
+    for blank in "- \t\n\x0b\f\r":
+        bare = F.replace(bare, F.lit(blank))
+    return F.when(bare.rlike(r"\A[0-9]{5}\z"), F.concat(bare.substr(1, 2), F.lit("-"), bare.substr(3, 3)))
+
+
+def once(df: DataFrame, **made: Column) -> DataFrame:
+    """df with more columns, each computed once a row: a generator's output isn't folded into the filters and columns that use it."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def folded(c: Column) -> Column:

@@ -20,15 +20,16 @@ RAW_COLUMNS = [x.split()[0] for x in RAW.split(", ")]
 def select_city(raw: DataFrame, city: City) -> DataFrame:
     """A city's rows: by postal prefix, or by the city's name where there is no valid code. The country filter reaches the
     scan; both codes come out normalised."""
-    code = text.postal_code(F.col("mrch_postal_code"))
+    rows = text.once(raw.select(*RAW_COLUMNS).where(F.col("mrch_ctry_nm") == city.country), __code=text.postal_code(F.col("mrch_postal_code")))
+    code = F.col("__code")
     here = code.substr(1, 2).isin(*city.postal_prefixes) | (code.isNull() & text.folded(F.col("mrch_city_nm_raw")).startswith(city.folded_name))
-    return raw.select(*RAW_COLUMNS).where(F.col("mrch_ctry_nm") == city.country).where(here).withColumns({"mrch_postal_code": code, "pstl_cd_enr": text.postal_code(F.col("pstl_cd_enr"))})
+    return rows.where(here).withColumns({"mrch_postal_code": code, "pstl_cd_enr": text.postal_code(F.col("pstl_cd_enr"))}).select(*RAW_COLUMNS)
 
 
 def localised(df: DataFrame, s: Settings) -> DataFrame:
     """Rows with a known time, renamed, with ts, day, week, block, period and workday in the city's wall time."""
     named = df.where(F.col("tran_id_gmt_tm") != "000000").withColumnsRenamed({"tran_id_raw": "txn_id", "pymt_crd_acct_num_raw": "card", "mrch_nm_raw": "merchant", "mrch_catg_cd": "mcc", "mrch_postal_code": "zone", "pstl_cd_enr": "home", "lau_enr": "area"})
-    timed = named.withColumn("ts", calendar.local_time("prch_dt", "tran_id_gmt_tm", s.city.time_zone)).where("ts is not null").withColumn("day", F.to_date("ts"))
+    timed = text.once(named, ts=calendar.local_time("prch_dt", "tran_id_gmt_tm", s.city.time_zone)).where("ts is not null").withColumn("day", F.to_date("ts"))
     return timed.withColumns({"week": calendar.week_of(F.col("ts")), "block": calendar.block_of(F.col("ts"), s), "period": calendar.period_of(F.col("day"), s), "workday": calendar.is_workday(F.col("day"), s)})
 
 
@@ -53,7 +54,8 @@ def _visit_rules(s: Settings) -> list[tuple[str, list, bool, bool]]:
 def visit_transactions(tx: DataFrame, groups: DataFrame, s: Settings, left_out: DataFrame | None = None) -> DataFrame:
     """Purchases that a person made at a place on a season's workday, with service group, default minutes and visitor flag.
 
-    `groups` maps mcc to a service group and drops what it doesn't know; `left_out` holds zones to leave out.
+    `groups` maps mcc to a service group and drops what it doesn't know; `left_out` holds zones to leave out. Both are short lists
+    with few keys: they go to the purchases, which would else be dealt out by category or zone to a few tasks.
     """
     holds = F.col("zone").isNotNull()
     for column, values, wanted, null_passes in _visit_rules(s):
@@ -61,9 +63,9 @@ def visit_transactions(tx: DataFrame, groups: DataFrame, s: Settings, left_out:
         holds &= F.coalesce(among if wanted else ~among, F.lit(null_passes)) if null_passes else (among if wanted else ~among)
     if s.exclusions:
         holds &= ~F.upper(F.coalesce("merchant", F.lit(""))).rlike("|".join(f"(?:{p})" for p in s.exclusions))
-    kept = tx.where(holds).join(groups, "mcc")
+    kept = tx.where(holds).join(F.broadcast(groups), "mcc")
     if left_out is not None:
-        kept = kept.join(left_out.select("zone").distinct(), "zone", "left_anti")
+        kept = kept.join(F.broadcast(left_out.select("zone").distinct()), "zone", "left_anti")
     return kept.withColumn("visitor", (~F.col("home").eqNullSafe(F.col("zone"))).cast("int"))
 
 

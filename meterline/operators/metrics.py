@@ -34,7 +34,7 @@ def driver_share(v: DataFrame, paid_zones: DataFrame | None = None) -> DataFrame
     own = days.groupBy("zone", *keys).agg((F.sum("driver") / F.count("*")).alias("own"))
     if paid_zones is None:
         return own.select("zone", *keys, F.lit(None).cast("boolean").alias("paid_zone"), F.col("own").alias("share"))
-    marks = paid_zones.select("zone").distinct().withColumn("paid_zone", F.lit(True))
+    marks = F.broadcast(paid_zones.select("zone").distinct().withColumn("paid_zone", F.lit(True)))
     # a card may visit several paid zones in a day: count it once
     inside = days.join(marks, "zone", "left_semi").groupBy(*keys, "card", "day").agg(F.max("driver").alias("driver"))
     inside = inside.groupBy(*keys).agg((F.sum("driver") / F.count("*")).alias("inside"))

@@ -28,7 +28,7 @@ SETTINGS = Settings(
 _K, _KD = "cast(get_json_object(props, '$.k') as int)", "cast(json_extract_string(props, '$.k') as int)"
 _RAW: list[tuple[str, str, str | None]] = [
     ("tran_id_raw", "event_id", None),
-    ("tran_id_gmt_tm", "date_format(ts, 'HHmmss')", "strftime(ts, '%H%M%S')"),
+    ("tran_id_gmt_tm", "replace(substr(cast(ts as string), 12, 8), ':', '')", "strftime(ts, '%H%M%S')"),
     ("pymt_crd_acct_num_raw", "concat('c', user_id)", None),
     ("transaction_type", "case when k % 25 = 0 then 'REFUND' when k % 25 = 1 then 'ATM' else 'POS' end", None),
     ("transaction_pos_entry_mode", "case when k % 20 = 1 then 'COF' when k % 20 = 2 then null else 'Tap to pay' end", None),
@@ -40,7 +40,7 @@ _RAW: list[tuple[str, str, str | None]] = [
     ("cs_tran_amt", "cast(value as decimal(38, 10))", None),
     ("channel_flg", "case when k % 30 = 3 then 'eci' when k % 30 = 4 then null else 'cp_contactless' end", None),
     ("cp_flag", "cast(case when k % 40 = 4 then 0 else 1 end as smallint)", None),
-    ("prch_dt", "date_format(ts, 'yyyy-MM-dd')", "strftime(ts, '%Y-%m-%d')"),
+    ("prch_dt", "cast(cast(ts as date) as string)", "strftime(ts, '%Y-%m-%d')"),
     ("lau_enr", "case when user_id % 5 = 0 then 'Lodz ' else 'ZGIERZ' end", None),
     ("pstl_cd_enr", "case when user_id % 11 = 0 then null else concat('90-00', user_id % 4) end", None),
 ]

@@ -5,9 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from meterline.operators import metrics
+from meterline.functions import calendar, text
+from meterline.operators import clean, metrics
+from meterline.plans import queries as plans
 from meterline.plans import testdata as td
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_grid_positions_at_the_pole_and_beyond(spark, tmp_path):
     """User 38,400 stands at the pole; later ones pass it."""
@@ -22,3 +26,18 @@ def test_medians_of_large_groups_are_exact(spark):
     """Values all different: a rank that is off by one shows."""
     values = spark.range(600_000).select(F.lit("S1").alias("period"), F.lit("07-10").alias("block"), F.lit("A").alias("subzone"), (F.col("id") * 7919 % 600_000 / 10).alias("minutes"), F.lit(1.0).alias("amount"), (F.col("id") % 50).alias("card"), F.lit("1A").alias("meter"), F.lit("2024-01-02").alias("day"))
     assert metrics.subzone_metrics(values.repartition(7), td.SETTINGS).first()["median_minutes"] == 29_999.9
+
+
+def test_each_transaction_is_timed_once_and_short_lists_go_to_it(spark):
+    """The local time is in one place of the plan, and no join with a list of few keys deals the purchases out by it."""
+    made = plans.tx(spark, DATA)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("from_utc_timestamp") == 1
+    bought = clean.visit_transactions(made, plans.ref(spark).groups, td.SETTINGS)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in bought and "SortMergeJoin" not in bought
+
+
+def test_odd_times_and_codes(spark):
+    rows = [("2024-01-02", "120000", "90 001"), ("2024-02-30", "120000", "9\t0-0\n01"), ("2024-1-2", "120000", "90001\x85"), ("2024-01-02", "12000", "9000"), (None, "120000", None), ("2024-01-02", "245959", "90-0012")]
+    df = spark.createDataFrame(rows, "day string, t string, code string").coalesce(1)
+    out = df.select(calendar.local_time("day", "t", "Europe/Warsaw").cast("string").alias("ts"), text.postal_code(F.col("code")).alias("code"))
+    assert [tuple(r) for r in out.collect()] == [("2024-01-02 13:00:00", "90-001"), (None, "90-001"), (None, None), (None, None), (None, None), (None, None)]
