@@ -11,7 +11,8 @@ def postal_code(c: Column) -> Column:
     bare = c
     for blank in "- \t\n\x0b\f\r":
         bare = F.replace(bare, F.lit(blank))
-    return F.when(bare.rlike(r"\A[0-9]{5}\z"), F.concat(bare.substr(1, 2), F.lit("-"), bare.substr(3, 3)))
+    made = F.when(bare.rlike(r"\A[0-9]{5}\z"), F.concat(bare.substr(1, 2), F.lit("-"), bare.substr(3, 3)))
+    return F.when(c.rlike(r"\A[0-9]{2}-[0-9]{3}\z"), c).otherwise(made)  # most are in order already, which costs one look
 
 
 def once(df: DataFrame, **made: Column) -> DataFrame:

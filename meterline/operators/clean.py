@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import City, Settings
@@ -26,11 +26,20 @@ def select_city(raw: DataFrame, city: City) -> DataFrame:
     return rows.where(here).withColumns({"mrch_postal_code": code, "pstl_cd_enr": text.postal_code(F.col("pstl_cd_enr"))}).select(*RAW_COLUMNS)
 
 
+def timed(df: DataFrame, s: Settings) -> DataFrame:
+    """Rows with a known time, renamed, with ts in the city's wall time."""
+    named = df.where(F.col("tran_id_gmt_tm") != "000000").withColumnsRenamed({"tran_id_raw": "txn_id", "pymt_crd_acct_num_raw": "card", "mrch_nm_raw": "merchant", "mrch_catg_cd": "mcc", "mrch_postal_code": "zone", "pstl_cd_enr": "home", "lau_enr": "area"})
+    return text.once(named, ts=calendar.local_time("prch_dt", "tran_id_gmt_tm", s.city.time_zone)).where("ts is not null")
+
+
+def dated(df: DataFrame, s: Settings) -> DataFrame:
+    """df with what follows from ts: day, week, block, period and workday."""
+    return df.withColumn("day", F.to_date("ts")).withColumns({"week": calendar.week_of(F.col("ts")), "block": calendar.block_of(F.col("ts"), s), "period": calendar.period_of(F.col("day"), s), "workday": calendar.is_workday(F.col("day"), s)})
+
+
 def localised(df: DataFrame, s: Settings) -> DataFrame:
     """Rows with a known time, renamed, with ts, day, week, block, period and workday in the city's wall time."""
-    named = df.where(F.col("tran_id_gmt_tm") != "000000").withColumnsRenamed({"tran_id_raw": "txn_id", "pymt_crd_acct_num_raw": "card", "mrch_nm_raw": "merchant", "mrch_catg_cd": "mcc", "mrch_postal_code": "zone", "pstl_cd_enr": "home", "lau_enr": "area"})
-    timed = text.once(named, ts=calendar.local_time("prch_dt", "tran_id_gmt_tm", s.city.time_zone)).where("ts is not null").withColumn("day", F.to_date("ts"))
-    return timed.withColumns({"week": calendar.week_of(F.col("ts")), "block": calendar.block_of(F.col("ts"), s), "period": calendar.period_of(F.col("day"), s), "workday": calendar.is_workday(F.col("day"), s)})
+    return dated(timed(df, s), s)
 
 
 def hubs(tx: DataFrame, s: Settings) -> DataFrame:
@@ -51,19 +60,29 @@ def _visit_rules(s: Settings) -> list[tuple[str, list, bool, bool]]:
     ]
 
 
-def visit_transactions(tx: DataFrame, groups: DataFrame, s: Settings, left_out: DataFrame | None = None) -> DataFrame:
-    """Purchases that a person made at a place on a season's workday, with service group, default minutes and visitor flag.
-
-    `groups` maps mcc to a service group and drops what it doesn't know; `left_out` holds zones to leave out. Both are short lists
-    with few keys: they go to the purchases, which would else be dealt out by category or zone to a few tasks.
-    """
+def bought(s: Settings) -> Column:
+    """Whether a person made the purchase at a place, on a season's workday."""
     holds = F.col("zone").isNotNull()
     for column, values, wanted, null_passes in _visit_rules(s):
         among = F.col(column).isin(*values)
         holds &= F.coalesce(among if wanted else ~among, F.lit(null_passes)) if null_passes else (among if wanted else ~among)
     if s.exclusions:
         holds &= ~F.upper(F.coalesce("merchant", F.lit(""))).rlike("|".join(f"(?:{p})" for p in s.exclusions))
-    kept = tx.where(holds).join(F.broadcast(groups), "mcc")
+    return holds
+
+
+def visit_transactions(tx: DataFrame, groups: DataFrame, s: Settings, left_out: DataFrame | None = None) -> DataFrame:
+    """Purchases that a person made at a place on a season's workday, with service group, default minutes and visitor flag."""
+    return at_places(tx.where(bought(s)), groups, left_out)
+
+
+def at_places(purchases: DataFrame, groups: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
+    """Purchases with service group, default minutes and visitor flag.
+
+    `groups` maps mcc to a service group and drops what it doesn't know; `left_out` holds zones to leave out. Both are short lists
+    with few keys: they go to the purchases, which would else be dealt out by category or zone to a few tasks.
+    """
+    kept = purchases.join(F.broadcast(groups), "mcc")
     if left_out is not None:
         kept = kept.join(F.broadcast(left_out.select("zone").distinct()), "zone", "left_anti")
     return kept.withColumn("visitor", (~F.col("home").eqNullSafe(F.col("zone"))).cast("int"))

@@ -20,16 +20,15 @@ class Facts:
     visits: DataFrame
 
 
-def facts(raw: DataFrame, ref: Reference, s: Settings, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Facts:
+def facts(raw: DataFrame, ref: Reference, s: Settings, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, priced: bool = True) -> Facts:
     """The cleaned transactions, parking payments, hub zones and visits of one city. `keep` gets each as it is made, with its name,
-    and returns what the next is made from."""
+    and returns what the next is made from. Visits need no prices: without `priced`, payments have no amounts and minutes."""
     s = replace(s, exclusions=ref.exclusions or s.exclusions)
-    tx = keep(clean.localised(raw, s), "tx")
-    paid = keep(parking.payments(tx, ref.tariff, s, ref.meters), "paid")
+    tx = keep(clean.localised(raw, s).withColumn("bought", clean.bought(s)), "tx")
+    paid = keep(parking.payments(tx, ref.tariff, s, ref.meters) if priced else parking.parked(tx, s, ref.meters), "paid")
     hub = keep(clean.hubs(tx, s), "hubs")
     gone = hub.select("zone") if ref.left_out is None else hub.select("zone").unionByName(ref.left_out.select("zone"))
-    bought = clean.visit_transactions(tx, ref.groups, s, gone)
-    v = visits.visits(bought, s, parking.reached(paid, ref.reach))
+    v = visits.visits(clean.at_places(tx.where("bought"), ref.groups, gone), s, parking.reached(paid, ref.reach))
     return Facts(tx, paid, hub, keep(visits.with_drivers(v, parking.driver_days(paid)), "visits"))
 
 

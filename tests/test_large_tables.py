@@ -41,3 +41,17 @@ def test_odd_times_and_codes(spark):
     df = spark.createDataFrame(rows, "day string, t string, code string").coalesce(1)
     out = df.select(calendar.local_time("day", "t", "Europe/Warsaw").cast("string").alias("ts"), text.postal_code(F.col("code")).alias("code"))
     assert [tuple(r) for r in out.collect()] == [("2024-01-02 13:00:00", "90-001"), (None, "90-001"), (None, None), (None, None), (None, None), (None, None)]
+
+
+def test_visits_keep_no_more_of_transactions_than_they_read(spark):
+    """Amounts, which are slow to keep, and what follows from the time aren't kept; no payment is priced for visits."""
+    plans.kept(spark, DATA)
+    assert "bought" in plans._LAST[0].columns and not {"cs_tran_amt", "area", "day", "week", "block", "period", "workday"} & set(plans._LAST[0].columns)
+    assert "rates" not in plans._LAST[2]._jdf.queryExecution().analyzed().toString()
+    plans.let_go()
+
+
+def test_codes_in_order_and_not(spark):
+    given = ["90-001", " 90-001", "90--001", "9-0001", "90 001\n", "90-001\n", "90-0a1", "９０-001", "", None]
+    out = [r[0] for r in spark.createDataFrame([(x,) for x in given], "c string").coalesce(1).select(text.postal_code(F.col("c"))).collect()]
+    assert out == ["90-001"] * 6 + [None] * 4
