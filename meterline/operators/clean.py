@@ -17,13 +17,14 @@ RAW = (
 RAW_COLUMNS = [x.split()[0] for x in RAW.split(", ")]
 
 
-def select_city(raw: DataFrame, city: City) -> DataFrame:
+def select_city(raw: DataFrame, city: City, columns: list[str] = RAW_COLUMNS) -> DataFrame:
     """A city's rows: by postal prefix, or by the city's name where there is no valid code. The country filter reaches the
-    scan; both codes come out normalised."""
-    rows = text.once(raw.select(*RAW_COLUMNS).where(F.col("mrch_ctry_nm") == city.country), __code=text.postal_code(F.col("mrch_postal_code")))
+    scan; both codes come out normalised. columns: the fact table's columns that are needed, these codes, the country and the
+    city's name among them."""
+    rows = text.once(raw.select(*columns).where(F.col("mrch_ctry_nm") == city.country), __code=text.postal_code(F.col("mrch_postal_code")))
     code = F.col("__code")
     here = code.substr(1, 2).isin(*city.postal_prefixes) | (code.isNull() & text.folded(F.col("mrch_city_nm_raw")).startswith(city.folded_name))
-    return rows.where(here).withColumns({"mrch_postal_code": code, "pstl_cd_enr": text.postal_code(F.col("pstl_cd_enr"))}).select(*RAW_COLUMNS)
+    return rows.where(here).withColumns({"mrch_postal_code": code, "pstl_cd_enr": text.postal_code(F.col("pstl_cd_enr"))}).select(*columns)
 
 
 def timed(df: DataFrame, s: Settings) -> DataFrame:

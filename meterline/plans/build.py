@@ -28,8 +28,8 @@ def facts(raw: DataFrame, ref: Reference, s: Settings, keep: Callable[[DataFrame
     paid = keep(parking.payments(tx, ref.tariff, s, ref.meters) if priced else parking.parked(tx, s, ref.meters), "paid")
     hub = keep(clean.hubs(tx, s), "hubs")
     gone = hub.select("zone") if ref.left_out is None else hub.select("zone").unionByName(ref.left_out.select("zone"))
-    v = visits.visits(clean.at_places(tx.where("bought"), ref.groups, gone), s, parking.reached(paid, ref.reach))
-    return Facts(tx, paid, hub, keep(visits.with_drivers(v, parking.driver_days(paid)), "visits"))
+    v = visits.visits(clean.at_places(tx.where("bought"), ref.groups, gone), s, parking.reached(paid, ref.reach), paid)
+    return Facts(tx, paid, hub, keep(visits.of_visitors(v), "visits"))
 
 
 def aggregates(raw: DataFrame, ref: Reference, s: Settings) -> dict[str, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import City, Period, Settings
+from ..functions import text
 from ..operators.clean import RAW_COLUMNS
 from ..sources.tables import Reference
 
@@ -28,7 +29,7 @@ SETTINGS = Settings(
 _K, _KD = "cast(get_json_object(props, '$.k') as int)", "cast(json_extract_string(props, '$.k') as int)"
 _RAW: list[tuple[str, str, str | None]] = [
     ("tran_id_raw", "event_id", None),
-    ("tran_id_gmt_tm", "replace(substr(cast(ts as string), 12, 8), ':', '')", "strftime(ts, '%H%M%S')"),
+    ("tran_id_gmt_tm", "lpad(cast(hour(ts) * 10000 + minute(ts) * 100 + second(ts) as string), 6, '0')", "strftime(ts, '%H%M%S')"),
     ("pymt_crd_acct_num_raw", "concat('c', user_id)", None),
     ("transaction_type", "case when k % 25 = 0 then 'REFUND' when k % 25 = 1 then 'ATM' else 'POS' end", None),
     ("transaction_pos_entry_mode", "case when k % 20 = 1 then 'COF' when k % 20 = 2 then null else 'Tap to pay' end", None),
@@ -46,10 +47,16 @@ _RAW: list[tuple[str, str, str | None]] = [
 ]
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a generator's output isn't folded into what uses it: each row's JSON is parsed once, each column made once
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.expr(_K))
-    return e.select(F.inline(F.array(F.struct(*[F.expr(x).alias(n) for n, x, _ in _RAW])))).select(*RAW_COLUMNS)
+#: What filters and columns both read, dear enough to be made only once.
+_ONCE = ("tran_id_gmt_tm", "prch_dt", "mrch_postal_code")
+
+
+def raw(spark: SparkSession, sf_dir: str, columns: list[str] = RAW_COLUMNS) -> DataFrame:
+    """The events' transactions, with the columns named: what isn't named isn't made."""
+    made = {n: F.expr(x) for n, x, _ in _RAW if n in columns}
+    e = text.once(spark.read.parquet(f"{sf_dir}/events.parquet"), k=F.expr(_K))  # each row's JSON is parsed once
+    e = text.once(e, **{n: made.pop(n) for n in _ONCE if n in made})
+    return e.withColumns(made).select(*columns)
 
 
 _GROUPS = [(5411, "small_grocery", 20), (5812, "food_service", 75), (5651, "retail", 45), (7230, "personal_services", 90)]

@@ -1,12 +1,15 @@
 """What only large tables hold: many users, and groups of more rows than a sketch keeps apart."""
 
+import re
+from datetime import date, datetime
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from meterline.functions import calendar, text
-from meterline.operators import clean, metrics
+from meterline.operators import clean, metrics, parking, visits
 from meterline.plans import queries as plans
 from meterline.plans import testdata as td
 
@@ -55,3 +58,36 @@ def test_codes_in_order_and_not(spark):
     given = ["90-001", " 90-001", "90--001", "9-0001", "90 001\n", "90-001\n", "90-0a1", "９０-001", "", None]
     out = [r[0] for r in spark.createDataFrame([(x,) for x in given], "c string").coalesce(1).select(text.postal_code(F.col("c"))).collect()]
     assert out == ["90-001"] * 6 + [None] * 4
+
+
+def exchanges(df):
+    """Keys of the exchanges that were run, those of what is kept included."""
+    df.collect()
+    ran = df._jdf.queryExecution().executedPlan().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", ran)]
+
+
+def test_a_cards_visits_are_dealt_out_once(spark):
+    """One exchange, by card, serves the visits, the days of drivers and all counts of cards; amounts aren't made for them."""
+    k = plans.kept(spark, DATA)
+    found = exchanges(k.facts.visits.groupBy("card", "zone", "period").count())
+    assert {x for x in found if "card" in x} == {"card"}
+    assert "decimal(38,10)" not in plans._LAST[0]._jdf.queryExecution().optimizedPlan().toString()
+    plans.let_go()
+
+
+def test_drivers_are_marked_as_by_a_join(spark):
+    """Each visit's driver flag is what a join with the days of payments gives; payments without a card or day mark nobody."""
+    minute = lambda m: datetime(2024, 1, 2, 9, m)
+    day = date(2024, 1, 2)
+    bought = [(c, day, z, minute(m), date(2024, 1, 1), "S1", i, "retail", 45, 1) for i, (c, z, m) in enumerate([("a", "Z", 20), ("a", "Y", 30), ("b", "Z", 20), (None, "Z", 20), ("c", "Z", 20)])]
+    purchases = spark.createDataFrame(bought, "card string, day date, zone string, ts timestamp, week date, period string, txn_id long, service_group string, default_minutes int, visitor int")
+    payments = [("a", day, minute(5)), ("a", day, minute(6)), (None, day, minute(5)), ("c", None, minute(5)), ("b", date(2024, 1, 3), minute(5))]
+    paid = spark.createDataFrame(payments, "card string, day date, ts timestamp")
+    reached = paid.select("card", "day", F.lit("Z").alias("zone"), F.col("ts").alias("paid_ts"))
+    ours = visits.of_visitors(visits.visits(purchases, td.SETTINGS, reached, paid))
+    joined = visits.with_drivers(visits.visits(purchases, td.SETTINGS, reached), parking.driver_days(paid))
+    columns = ["card", "zone", "visit_no", "minutes", "driver"]
+    rows = sorted((str(r.card), *r[1:]) for r in ours.select(*columns).collect())
+    assert rows == sorted((str(r.card), *r[1:]) for r in joined.select(*columns).collect())
+    assert rows == [("None", "Z", 1, 45.0, 0), ("a", "Y", 1, 45.0, 1), ("a", "Z", 1, 59.0, 1), ("b", "Z", 1, 45.0, 0), ("c", "Z", 1, 45.0, 0)]
