@@ -13,6 +13,12 @@ def short_methods(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+def joined_parts(spark: SparkSession) -> None:
+    """A table that is kept has as many parts as its rows need, as a result has, and not one for each of the session's shuffle
+    partitions: what reads it starts as many tasks. Rows with equal keys stay in one part."""
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
+
+
 def get_spark(app: str = "meterline", driver_memory: str = "4g") -> SparkSession:
     """UTC session; master and shuffle width from SPARK_MASTER and SPARK_SHUFFLE_PARTITIONS. AQE splits skewed joins."""
     return (

@@ -91,3 +91,14 @@ def test_drivers_are_marked_as_by_a_join(spark):
     rows = sorted((str(r.card), *r[1:]) for r in ours.select(*columns).collect())
     assert rows == sorted((str(r.card), *r[1:]) for r in joined.select(*columns).collect())
     assert rows == [("None", "Z", 1, 45.0, 0), ("a", "Y", 1, 45.0, 1), ("a", "Z", 1, 59.0, 1), ("b", "Z", 1, 45.0, 0), ("c", "Z", 1, 45.0, 0)]
+
+
+def test_large_kept_tables_are_made_before_they_are_read(spark):
+    """Transactions and visits are whole in the store when a query starts, so no two stages make them side by side; visits lie in
+    as many parts as their rows need."""
+    spark.catalog.clearCache()
+    k = plans.kept(spark, DATA)
+    stored = spark.sparkContext._jsc.sc().getRDDStorageInfo()
+    assert sum(i.numCachedPartitions() == i.numPartitions() for i in stored) >= 2
+    assert k.facts.visits.rdd.getNumPartitions() < int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plans.let_go()
